@@ -168,3 +168,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
         else:
             out.append(np.zeros(0, U64))
     return out
+
+
+def lists(values: list[np.ndarray]) -> pa.Array:
+    """An Arrow list<int64> of arrays of 64-bit integers, signed or not."""
+    ends = np.cumsum([0, *map(len, values)])
+    flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int64, copy=False)))
