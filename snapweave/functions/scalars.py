@@ -130,7 +130,7 @@ def path_fix(authored: Column, found: Column, near: Column) -> Column:
     """
     ends = found.endswith(authored) & (F.length(found) == F.length(near))
     head = F.length(found) - F.length(authored)
-    same = F.substring_index(found, authored, 1) == near.substr(F.lit(1), head)
+    same = found.substr(F.lit(1), head) == near.substr(F.lit(1), head)
     return F.when(ends & same, near.substr(head + 1, F.length(near)))
 
 

@@ -78,4 +78,5 @@ def spliced(docs: DataFrame, fixes: DataFrame, key: str) -> DataFrame:
         lambda t, x: F.concat(t.substr(F.lit(1), x["start"]), x["replacement"], t.substr(x["end"] + 1, F.length(t))),
     )
     good = inside & apart
-    return docs.join(per, key).select(key, F.when(good, new).otherwise(F.col("text")).alias("text"), good.alias("applied"))
+    judged = docs.join(per, key).withColumn("applied", good)
+    return judged.select(key, F.when(F.col("applied"), new).otherwise(F.col("text")).alias("text"), "applied")
