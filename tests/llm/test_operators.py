@@ -1,0 +1,391 @@
+"""The training-data operators against brute force, and on awkward input."""
+
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from snapweave.llm import _text as T
+from snapweave.llm import additive, decontamination, line_dedup, mixing, ngram_join, outliers, queries, span_dedup, token_store, toxicity, url_filter
+from snapweave.llm._tables import components, shared_folder
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def table(spark, rows, schema="doc_id long, text string"):
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+# text primitives
+
+
+def test_spans_and_hashes():
+    texts = ["Ab  c\n d", None, "", "x", "ab", " c ab\n\n", "ü Ab\x0b z"]
+    seen = {}
+    for first, data, offsets in T.chunks(pa.array(texts)):
+        w = T.word_spans(data, offsets)
+        h = T.hash_spans(T.prefix(T.lower(data)), w.start, w.end)
+        words = [bytes(data[a:b]).decode() for a, b in zip(w.start, w.end)]
+        assert words == [x for t in texts for x in WORD.findall(t or "")]
+        assert w.count.tolist() == [len(WORD.findall(t or "")) for t in texts]
+        for x, y in zip(words, h.tolist()):
+            assert seen.setdefault(x.translate(LOWER), y) == y
+        lines = T.line_spans(data, offsets)
+        assert [bytes(data[a:b]).decode() for a, b in zip(lines.start, lines.end)] == [x for t in texts for x in (t or "").split("\n")]
+    assert len(set(seen.values())) == len(seen)
+
+
+# n-gram Jaccard join
+
+
+def brute_components(rows, k, p, q):
+    sets = {}
+    for d, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[d] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if q * both >= p * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+def near_copies(seed, groups=25):
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = [(0, None), (1, ""), (2, " \n"), (3, "a b"), (4, "A b"), (5, "a")]
+    for _ in range(groups):
+        base = [r.choice(vocabulary) for _ in range(r.choice([5, 12, 25, 40, 90, 200]))]
+        for _ in range(r.choice([1, 2, 12, 30])):
+            w = list(base)
+            for _ in range(r.choice([0, 1, 1, 2, 3, 4])):
+                i, how = r.randrange(len(w)), r.random()
+                if how < 0.5:
+                    w[i] = r.choice(vocabulary)
+                elif how < 0.75 and len(w) > 3:
+                    del w[i]
+                else:
+                    w.insert(i, r.choice(vocabulary))
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize(("k", "p", "q"), [(3, 9, 10), (5, 8, 10)])
+def test_jaccard_components(spark, k, p, q):
+    rows = near_copies(k)
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.jaccard_components(table(spark, rows), k, p, q).collect()}
+    assert got == brute_components(rows, k, p, q)
+
+
+def test_similar_sets_share_a_fragment():
+    """The guarantee behind the candidates, at the edge of the threshold."""
+    r = np.random.default_rng(1)
+    for p, q in ((9, 10), (8, 10)):
+        for n in (9, 10, 19, 33, 60, 150, 700, 3000):
+            for _ in range(20):
+                a = np.unique(r.integers(0, 2**63, n).astype(T.U64))
+                gone = r.integers(0, len(a) * (q - p) // q + 1)
+                grown = max(0, ((len(a) - gone) * q // p) - len(a))
+                b = np.unique(np.concatenate([r.permutation(a)[gone:], r.integers(0, 2**63, grown).astype(T.U64)]))
+                both = len(np.intersect1d(a, b))
+                if q * both >= p * (len(a) + len(b) - both) and len(np.setxor1d(a, b)):
+                    assert set(ngram_join._signatures(a, p, q).tolist()) & set(ngram_join._signatures(b, p, q).tolist())
+
+
+def test_components_of_a_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "u long, v long")
+    got = dict(tuple(r) for r in components(links).collect())
+    assert got == {**dict.fromkeys(range(21), 0), 100: 100, 101: 100}
+
+
+# line and span dedup
+
+
+def brute_runs(lists, size, keep=lambda run: True):
+    seen, out = set(), {}
+    for d, items in sorted(lists):
+        for i in range(len(items) - size + 1):
+            run = tuple(items[i : i + size])
+            if keep(run):
+                if run in seen:
+                    out.setdefault(d, set()).update(range(i, i + size))
+                seen.add(run)
+    return out
+
+
+def covered(df):
+    return {r[0]: {i for s in r.spans for i in range(s.first, s.last + 1)} for r in df.collect()}
+
+
+def test_line_runs(spark):
+    r = random.Random(7)
+    rows = [(i, "\n".join(r.choice(["a", "b b", " c", "d\t", "", "e"]) for _ in range(r.randrange(14)))) for i in range(60)]
+    rows += [(100, None), (101, "a\n" * 50), (102, "z" * 200_000)]
+    lists = [(d, [" ".join(x.split(" ")).strip(" \t\n\r\x0b\x0c") for x in (t or "").split("\n") if WORD.search(x)]) for d, t in rows]
+    for window in (2, 3, 4):
+        assert covered(line_dedup.repeated_lines(table(spark, rows), window)) == brute_runs(lists, window)
+
+
+def test_sentence_runs(spark):
+    r = random.Random(8)
+    rows = [(i, "".join(r.choice(["A b c d. ", "e f g h!\n", "i j k l", "\n", "M n? o p q. ", " r. "]) for _ in range(r.randrange(16)))) for i in range(60)] + [(90, None), (91, "")]
+
+    def split(t):
+        marked = re.sub(r"([.!?])[\x20\x09-\x0D]+", r"\1\n", (t or "").translate(LOWER))
+        return [" ".join(WORD.findall(x)) for x in marked.split("\n") if WORD.search(x)]
+
+    lists = [(d, split(t)) for d, t in rows]
+    want = brute_runs(lists, 3, lambda run: len(WORD.findall(" ".join(run))) >= 8)
+    assert covered(span_dedup.repeated_spans(table(spark, rows))) == want and want
+
+
+# decontamination
+
+
+def brute_leaks(rows, items, k=5, p=8, q=10):
+    words = lambda t: WORD.findall(re.sub(r"[!-/:-@\[-`{-~]", " ", (t or "").translate(LOWER)).replace("\x7f", " "))
+    bag = lambda w: collections.Counter(tuple(w[i : i + min(k, len(w))]) for i in range(max(1, len(w) - k + 1)))
+    out = set()
+    for d, t in rows:
+        w = words(t)
+        for i, x in items:
+            v = words(x)
+            for at in range(max(1, len(w) - len(v) + 1) if v and w else 0):
+                own = w[at : at + len(v)]
+                a, b = bag(own), bag(v)
+                if min(k, len(own)) == min(k, len(v)) and q * sum((a & b).values()) >= p * sum((a | b).values()):
+                    out.add((d, i))
+    return out
+
+
+def test_leaks(spark):
+    r = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(500)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(n))) for i, n in enumerate([3, 15, 20, 37, 59, 59])] + [(90, None), (91, "")]
+    rows = [(0, None), (1, ""), (2, items[1][1])]
+    for i in range(60):
+        w = [r.choice(vocabulary) for _ in range(r.randrange(5, 120))]
+        if i % 2:
+            x = items[r.randrange(6)][1].split()
+            for _ in range(r.randrange(3)):
+                x[r.choice([0, -1, len(x) // 2])] = "changed"
+            at = r.randrange(len(w))
+            w[at:at] = [a.upper() + "," for a in x]
+        rows.append((10 + i, " ".join(w)))
+    got = {(x.doc_id, x.item_id) for x in decontamination.contaminated(table(spark, rows), table(spark, items, "item_id long, text string")).collect()}
+    assert got == brute_leaks(rows, items) and len(got) > 10
+
+
+def test_multi_index_finds_all_within_the_radius():
+    r = np.random.default_rng(2)
+    index = decontamination.Index([(i, " ".join(f"x{j}" for j in r.integers(0, 999, 20))) for i in range(300)], 5, 20, 10)
+    prints = r.integers(0, 2**63, 200).astype(T.U64)
+    prints[:100] = index.prints[:100] ^ np.array([sum(1 << int(b) for b in r.choice(64, r.integers(0, 24), replace=False)) for _ in range(100)], T.U64)
+    got = set(zip(*(x.tolist() for x in index.near(20, prints)), strict=True))
+    assert got == {(w, i) for w in range(200) for i in range(300) if int(prints[w] ^ index.prints[i]).bit_count() <= 20}
+
+
+# mixing
+
+
+def brute_targets(sizes, weights=(3, 1, 2)):
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    open_, out, left = set(names), dict.fromkeys(names, 0.0), 1.5 * sum(sizes.values())
+    while open_ and left > 1e-9:
+        total, given = sum(weight[s] for s in open_), left
+        for s in sorted(open_, key=names.index):
+            out[s] += given * weight[s] / total
+        over = {s for s in open_ if out[s] >= 2 * sizes[s] - 1e-9}
+        left = sum(out[s] - 2 * sizes[s] for s in over)
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+        open_ -= over
+    return out
+
+
+def test_mix(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join("w" * r.randrange(1, 400)), r.choice(["a", "b", "b", "b", "c", "d", None])) for i in range(300)] + [(900, None, "a"), (901, "", "empty"), (900, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len(WORD.findall(t or ""))
+    want, taken = brute_targets(size), collections.Counter()
+    source = {d: s for d, _, s in rows}
+    for x in got:
+        assert abs(x.target - want[source[x.doc_id]]) < 1e-6 and x.taken <= 2 * x.size
+        taken[source[x.doc_id]] += x.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
+    whole = mixing.mixed_documents(docs).groupBy("doc_id").count().collect()
+    assert max(x["count"] for x in whole if x.doc_id != 900) <= 2
+
+
+# token store
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.tokenizer_path())
+
+
+def test_encoder_equals_the_library(tokenizer):
+    texts = ["Hello, World! don't  I'LL é É ÀB ß ſ İstanbul 12ab ²³ <|endoftext|>x a<|startoftext|>", "", "a b\x1cc d", "naïve—dash…", "x" * 5000, "日本語 テスト", "_a_ a_b #tag's"]
+    encode = token_store.Encoder(queries.tokenizer_path())
+    for _ in range(2):
+        for t, ids in zip(texts, encode.encode([t.encode() for t in texts]), strict=True):
+            assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_round_trip(spark, tokenizer):
+    rows = [(5, "b c"), (1, "Hello there"), (3, None), (2, ""), (None, "no key"), (1, "again"), (7, "long " * 20_000)] + [(i, f"text number {i}") for i in range(100, 300)]
+    folder = shared_folder(spark, "tokens")
+    token_store.write(table(spark, rows), folder, queries.tokenizer_path())
+    got = token_store.read(spark, folder, ids=True).orderBy("start").collect()
+    start = 0
+    for x, (k, t) in zip(got, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")), strict=True):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        assert (x.doc_id, x.start, x.n_tokens, x.ids) == (k, start, len(ids), ids)
+        assert x.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+
+
+def test_blocks_decode_and_notice_damage():
+    r = np.random.default_rng(4)
+    blocks = [np.minimum(r.geometric(0.01, n), 49_407) for n in (1, 63, 64, 65, 5000)]
+    symbols, f = token_store.frequencies(np.concatenate(blocks))
+    assert f.sum() == 1 << 20 and f.min() >= 1
+    coded = token_store.encode_blocks(blocks, symbols, f)
+    for one, b in zip(coded, blocks, strict=True):  # each block alone
+        assert token_store.decode_blocks([one], [len(b)], symbols, f)[0].tolist() == b.tolist()
+    row = {"part": 0, "segment": 0, "symbols": symbols, "frequencies": f, "lengths": [5000], "documents": [1], "bytes": [len(coded[4][2])], "crc32": [zlib.crc32(coded[4][2]) ^ 1], "states": coded[4][0].view(np.int64), "words": coded[4][1], "payload": coded[4][2]}
+    with pytest.raises(ValueError, match="crc32"):
+        token_store.decode_segment(row)
+
+
+# models
+
+
+def test_base_counts(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["a", "b", "#c", "d\n", "é", "\n"]) for _ in range(r.randrange(120))) for _ in range(60)] + [None, "", "\n\n"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = {x.doc_id: x for x in outliers.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = WORD.findall(t)
+        runs = collections.Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+        again = {j + o for j in range(len(w) - 2) if runs[tuple(w[j : j + 3])] > 1 for o in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        x = got[i]
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again))
+        assert x.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) and not (x.base_failed and x.kept)
+
+
+def test_outliers_are_rejected_and_the_rest_kept(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 10)))
+    rows = [(i, " ".join(word() for _ in range(r.randrange(60, 300))), "en", "s") for i in range(300)]
+    rows += [(1000 + i, " ".join(word() + "###" for _ in range(100)), "en", "s") for i in range(20)]
+    got = outliers.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {x.doc_id for x in got if not x.kept} == set(range(1000, 1020))
+    assert abs(outliers.chi2_quantile(0.99, 6) - 16.812) < 1e-2
+
+
+def labelled(seed=1, n=400):
+    r = random.Random(seed)
+    rows, marks = [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        w = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(r.randrange(20, 120))]
+        if bad:
+            w[r.randrange(len(w))] = r.choice(["nasty", "Vile!", "nastyish"])
+            w[r.randrange(len(w))] = "vile"
+        rows.append((i, " ".join(w)))
+        marks.append((i, int(not bad), int(bad)))
+    return rows, marks
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows, marks = labelled()
+    docs = table(spark, [*rows, (9999, None), (9998, "")])
+    labels = spark.createDataFrame([*marks, (9999, None, None)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in toxicity.toxicity_scores(docs, labels).collect()}
+    assert all(got[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d in got)
+    held = [(t, got[d].predicted) for d, _, t in marks if got[d].held_out]
+    assert sum(a == b for a, b in held) >= 0.95 * len(held)
+    assert got[9999].predicted == got[9998].predicted == 0 and all(0 <= x.score <= 1 for x in got.values())
+
+
+def test_label_model_finds_accuracies():
+    r = np.random.default_rng(3)
+    y = r.random(3000) < 0.3
+    vote = lambda hit, false: np.where(r.random(3000) < np.where(y, hit, false), 1, 0)
+    v = [vote(0.9, 0.02), vote(0.8, 0.05), vote(0.6, 0.02), vote(0.7, 0.6)]
+    v = np.stack([*v, v[0], -(np.stack(v[:3]).sum(0) == 0).astype(int)], axis=1).astype(np.int8)
+    m = toxicity.LabelModel(v, 0.3)
+    assert ((m.posterior(v) > 0.5) == y).mean() > 0.93
+    assert m.table[1, 0, 2] > m.table[0, 0, 2] + 0.5 and m.weight[0] < m.weight[3] + 0.5
+
+
+def test_additive_model_learns_a_pair():
+    r = np.random.default_rng(5)
+    x = r.random((3000, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    assert ((additive.Additive(x, y).score(x) > 0.5) == y).mean() > 0.85
+
+
+def test_url_rules_and_trees(spark):
+    urls = ["https://A.Example.COM/en/71", "http://x.com/en/1", "http://xcom/en/1", "http://net/de/9?q", "https://b.example.net/de/8#f", "no scheme", None, "http://h.org", "ftp://h.org?/es/"]
+    urls += [f"https://h{i}.com/en/{i}" for i in range(200)] + [f"https://h{i}.net/de/{i}" for i in range(200)]
+    got = {x.page_id: x for x in url_filter.judged(table(spark, list(enumerate(urls)), "page_id long, url string"), queries.URL_RULES).collect()}
+    want = [("a.example.com", "/en/71", "example.com/en/7", "allow"), ("x.com", "/en/1", "com/en/", "block"), ("xcom", "/en/1", None, None), ("net", "/de/9", "net/de/", "allow"), ("b.example.net", "/de/8", "example.net/de/8", "block"), ("", "", None, None), ("", "", None, None), ("h.org", "", None, None), ("h.org", "", None, None)]
+    for i, (host, path, rule, verdict) in enumerate(want):
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
+        assert got[i].verdict == verdict or verdict is None and got[i].verdict == ("block" if got[i].score >= 0.5 else "allow")
+    assert sum((got[i].score >= 0.5) == (got[i].verdict == "block") for i in range(9, 409)) > 380
+
+
+# awkward tables
+
+
+OPERATORS = {
+    "url": lambda s, d: url_filter.judged(d.withColumnRenamed("text", "url").withColumnRenamed("doc_id", "page_id"), queries.URL_RULES),
+    "mix": lambda s, d: mixing.mix(d),
+    "toxicity": lambda s, d: toxicity.toxicity_scores(d, s.createDataFrame([], "doc_id long, toxic int")),
+    "outliers": lambda s, d: outliers.judged(d),
+    "quality": lambda s, d: additive.quality_scores(d, s.createDataFrame([], "doc_id long, quality int")),
+    "join": lambda s, d: ngram_join.jaccard_components(d),
+    "lines": lambda s, d: line_dedup.repeated_lines(d),
+    "spans": lambda s, d: span_dedup.repeated_spans(d),
+    "leaks": lambda s, d: decontamination.contaminated(d, s.createDataFrame([(1, "a b c d e f")], "item_id long, text string")),
+}
+SCHEMA = "doc_id long, text string, lang string, source string, n long, key long, size string, _mix int"
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_null_repeated_and_clashing(spark, name):
+    assert OPERATORS[name](spark, spark.createDataFrame([], SCHEMA)).count() == 0
+    rows = [(None, None, None, None, 1, 1, "x", 1), (1, "a b c. d e f.\n" * 30, "en", "s", 1, 1, "x", 1), (1, "a b c. d e f.\n" * 30, "en", "s", 1, 1, "x", 1), (2, "", None, "s", 1, 1, "x", 1)]
+    out = OPERATORS[name](spark, spark.createDataFrame(rows, SCHEMA)).collect()
+    if name not in ("lines", "spans", "leaks"):
+        assert len(out) == 4
