@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,27 +12,56 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df computed once and cut from its lineage, in the shared folder of spark.checkpoint.dir.
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root:
+        made = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if made.isDefined():
+            return made.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="snapweave-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root
 
-    A temporary folder is made only where that setting is absent and Spark runs in one process.
-    """
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a written table, shared by driver and executors."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df computed once and cut from its lineage, in the shared folder; its files go when it is collected."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", "")
-        if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("spark.checkpoint.dir names no folder that the executors share")
-            folder = tempfile.mkdtemp(prefix="snapweave-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: a third of a checkpoint's size for long tables."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if it was counted to be within BROADCAST_ROWS, else as it is."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def bounded(df: DataFrame, by: list[str], most: int, total: int) -> DataFrame:
+    """The `most` rows that are least by a hash of `by`.
+
+    A threshold on the hash first leaves about 1.5 times as many, so that not every task sends `most`.
+    """
+    h = F.xxhash64(*by)
+    if total > 2 * most:
+        df = df.filter(F.pmod(h, F.lit(1 << 31)) < int((1 << 31) * 1.5 * most / total))
+    return df.orderBy(F.pmod(h, F.lit(1 << 31)), *by).limit(most)
+
+
 def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without the rows whose key is in ids (one column of that name); null keys stay."""
     ids = checkpoint(ids.select(F.col(key).alias("_drop")).distinct())

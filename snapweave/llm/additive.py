@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapweave.llm import _stats
-from snapweave.llm._tables import checkpoint, fold
+from snapweave.llm._tables import bounded, checkpoint, fold, maybe_broadcast
 
 BINS, COARSE, LEAVES, PAIRS = 48, 8, 4, 8
 RATE, ROUNDS, PAIR_ROUNDS, RIDGE, LEAST = 0.15, 120, 60, 5.0, 5
@@ -158,13 +158,9 @@ def quality_scores(
         .groupBy(F.col(key).alias("key"))
         .agg(F.max(label).alias("y"))
     )
-    sample = (
-        rows.join(taught, "key")
-        .select("y", *_stats.COUNTS, F.xxhash64("key").alias("order"))
-        .orderBy("order", *_stats.COUNTS)
-        .limit(most)
-        .toPandas()
-    )
+    taught = checkpoint(taught)
+    taught = checkpoint(bounded(taught, ["key"], most, taught.count()))
+    sample = rows.join(maybe_broadcast(taught), "key").select("key", "y", *_stats.COUNTS).orderBy("key", *_stats.COUNTS).limit(2 * most).toPandas()
     model = docs.sparkSession.sparkContext.broadcast(fit(sample[list(_stats.COUNTS)].to_numpy(np.int64), sample["y"].to_numpy(np.float64)))
     kind = rows.schema["key"].dataType.simpleString()
     scored = rows.select(*_stats.COUNTS, "key").mapInArrow(_score(model), f"key {kind}, score double")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapweave.llm import _text as T
-from snapweave.llm._tables import checkpoint, fold, maybe_broadcast
+from snapweave.llm._tables import bounded, checkpoint, fold, maybe_broadcast
 from snapweave.llm.decontamination import normal
 
 MOST = 10_000
@@ -232,10 +232,10 @@ def toxicity_scores(
         labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(key, folds) != held_out))
         .groupBy(F.col(key).alias("key"))
         .agg(F.max(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("key"), "key")
-        .limit(most)
     )
-    sample = source.join(maybe_broadcast(checkpoint(taught)), "key").select("text", "y", F.xxhash64("key", "text").alias("place"))
+    taught = checkpoint(taught)
+    taught = checkpoint(bounded(taught, ["key"], most, taught.count()))
+    sample = source.join(maybe_broadcast(taught), "key").select("text", "y", F.xxhash64("key", "text").alias("place"))
     sample = checkpoint(sample.repartition(max(1, spark.sparkContext.defaultParallelism * 2)))
     bad, total = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / (total - bad + 1.0))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snapweave.llm._tables import bounded
+
 DEPTH, TREES, RATE, RIDGE, LEAST, BINS = 4, 60, 0.2, 2.0, 10, 32
 SUFFIXES = 1024
 MOST = 20_000
@@ -194,14 +196,8 @@ def judged(
     for r in suffixes:
         frequency[r["class"]] = math.log(r.n / total)
         rate[r["class"]] = ((r.bad or 0) + 20 * prior) / (r.told + 20)
-    sample = (
-        rows.withColumn("y", y)
-        .filter("y is not null")
-        .select("url", "host", "path", "class", "y")
-        .orderBy(F.xxhash64("url"), "url")
-        .limit(most)
-        .collect()
-    )
+    labelled = rows.withColumn("y", y).filter("y is not null").select("url", "host", "path", "class", "y", "key")
+    sample = bounded(labelled, ["key", "url"], most, told).collect()
     stats = (frequency, rate)
     if 0 < bad < told and len({r.y for r in sample}) == 2:
         columns = [[r[i] for r in sample] for i in range(4)]
