@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapweave.llm import decontamination, mixing, ngram_join, token_store, toxicity
-from snapweave.llm._tables import checkpoint, drop_ids, table
+from snapweave.llm._tables import checkpoint, drop_ids, shared_folder, table
 from snapweave.llm.queries import tokenizer_path
 
 
@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as token ids in the binary format, read back: one row per row of docs."""
-    folder = token_store.shared_folder(spark, "corpus")
+    folder = shared_folder(spark, "corpus")
     token_store.write(docs, folder, tokenizer_path())
     return token_store.read(spark, folder)
 
@@ -67,7 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        folder = token_store.shared_folder(spark, name)
+        folder = shared_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
     return STAGES[-1][1](spark, docs, sf_dir)

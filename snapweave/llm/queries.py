@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapweave.llm import additive, decontamination, line_dedup, mixing, ngram_join, outliers, span_dedup, sql, token_store, toxicity, url_filter
-from snapweave.llm._tables import table
+from snapweave.llm._tables import shared_folder, table
 
 URL_RULES = [
     ("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"),
@@ -34,7 +34,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = token_store.shared_folder(spark, "tokens")
+    folder = shared_folder(spark, "tokens")
     token_store.write(table(spark, sf_dir, "documents"), folder, tokenizer_path())
     return token_store.read(spark, folder)
 

@@ -19,7 +19,6 @@ The files are a Parquet dataset, one row a segment: `part` and `segment`; its ta
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -39,8 +38,8 @@ _U = np.uint64
 #: Letters whose lower case is one letter and that no normalisation changes, then ASCII punctuation
 #: that begins no contraction: such a word's ids are those of its letters and those of its tail.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
-#: Words and pieces whose ids a worker remembers before it forgets all.
-_WORDS, _PIECES = 300_000, 500_000
+#: Words and pieces whose ids a worker remembers in one generation; it keeps two.
+_WORDS, _PIECES = 250_000, 250_000
 
 
 class Encoder:
@@ -57,6 +56,9 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
+        # what was remembered before: what is used again moves up, the rest is forgotten
+        self.old_words: dict[bytes, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -80,7 +82,7 @@ class Encoder:
 
     def _learn(self, new: list[bytes]) -> None:
         if len(self.pieces) > _PIECES:
-            self.pieces = {"": b""}
+            self.pieces, self.old_pieces = {"": b""}, self.pieces
         simple, other, letters, tails = [], [], set(), set()
         for w in new:
             if m := _SIMPLE.match(s := w.decode()):
@@ -89,7 +91,9 @@ class Encoder:
                 tails.add(t)
             else:
                 other.append((w, s))
-        self._letters([x for x in letters if x not in self.pieces])
+        letters = [x for x in letters if x not in self.pieces]
+        self.pieces.update((x, self.old_pieces[x]) for x in letters if x in self.old_pieces)
+        self._letters([x for x in letters if x not in self.old_pieces])
         tails = [t for t in tails if t not in self.pieces]
         self.pieces.update(zip(tails, self._each(tails), strict=True))
         self.words.update((w, self.pieces[x] + self.pieces[t]) for w, x, t in simple)
@@ -98,10 +102,12 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         lists = [t.split() for t in texts]  # bytes split at ASCII white space only
         if len(self.words) > _WORDS:
-            self.words = {}
-        new = set().union(*lists).difference(self.words) if lists else ()
+            self.words, self.old_words = {}, self.words
+        new = [w for w in set().union(*lists) if w not in self.words]
+        self.words.update((w, self.old_words[w]) for w in new if w in self.old_words)
+        new = [w for w in new if w not in self.old_words]
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, w)), self.dtype) for w in lists]
 
@@ -331,15 +337,3 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id", ids: bool = Fals
     return rows.mapInArrow(_read(ids), schema).join(maybe_broadcast(offsets), ["part", "segment"]).select(
         F.col("key").alias(key), (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids
     )
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="snapweave-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
