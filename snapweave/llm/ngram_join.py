@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapweave.llm import _text as T
-from snapweave.llm._tables import checkpoint, components
+from snapweave.llm._tables import checkpoint, components, written
 
 #: Coarse fragments in which overlaps are counted.
 FRAGMENTS = 8
@@ -41,19 +41,26 @@ BITMAP_BITS = 1 << 24
 _ODD = T.U64(0xA24BAED4963EE407)
 
 
+def _cost(parts: int, spare: int, size: float) -> float:
+    """Hashes that a set of that size emits: its empty fragments are about Poisson distributed."""
+    empty = parts * math.exp(-size / parts)
+    within = sum(math.exp(i * math.log(empty) - empty - math.lgamma(i + 1)) for i in range(spare + 1))
+    return (parts - empty) / max(within, 1e-9)
+
+
 @lru_cache(maxsize=8)
 def intervals(p: int, q: int, top: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Lower bounds of the size intervals up to size top, and (K, s) of each."""
-    ratio = max(1.5, q / p + 0.1)
+    ratio = max(1.6, q / p + 0.1)
     low = [1]
     while low[-1] <= top:
         low.append(max(low[-1] + 1, math.ceil(low[-1] * ratio)))
     cuts = []
     for a, b in zip(low, low[1:], strict=False):
         d = 2 * (b - 1) * (q - p) // (q + p)
-        s = 1
-        for _ in range(20):
-            s = 1 + math.ceil(1.5 * (d + 1 + s) * math.exp(-a / (d + 1 + s)))
+        # the spare that costs least: fragments with n-grams in them, times the orders tried
+        costs = [(_cost(d + 1 + s, s, a * p / q), s) for s in sorted({*range(1, 9), *(i * (d + 9) // 24 for i in range(1, 25))})]
+        s = min(c for c in costs if c[1] > 0)[1]
         cuts.append((d + 1 + s if d else 0, s))
     return np.array(low), cuts
 
@@ -75,7 +82,7 @@ def _signatures(h: np.ndarray, p: int, q: int) -> np.ndarray:
             start = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
             total = np.add.reduceat(T.mix(x * _ODD), start)
             tag = at[start] + T.U64((k << 40) + (seed << 32))
-            out.append(T.mix(total ^ T.mix(tag)))
+            out.append(T.mix(total ^ T.mix(tag)) >> T.U64(16))
             if parts - len(start) <= spare:
                 break
             seed += 1
@@ -83,73 +90,86 @@ def _signatures(h: np.ndarray, p: int, q: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, T.U64)
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, values)])
-    flat = np.concatenate(values) if values else np.zeros(0, T.U64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
-
-
 def _set_id(h: np.ndarray) -> int:
     """Identity of a set: equal sets, and only they, have it."""
     with np.errstate(over="ignore"):
         return int(T.mix((T.mix(h).sum(dtype=T.U64) * _ODD + T.U64(len(h))).reshape(1))[0].view(np.int64))
 
 
-def _describe(words: int, p: int, q: int):
+def _describe(words: int):
+    """(key, n, cls) of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for row, data, offsets in T.chunks(texts):
+            for row, data, offsets in T.chunks(batch.column(1)):
                 sets = T.shingle_sets(data, offsets, words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(row, len(sets)),
+                        batch.column(0).slice(row, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_set_id(s) for s in sets], pa.int64()),
-                        _lists([_signatures(s, p, q) if len(s) else s for s in sets]),
                     ],
-                    ["key", "n", "cls", "sigs"],
+                    ["key", "n", "cls"],
+                )
+
+    return run
+
+
+def _fragments(words: int, p: int, q: int):
+    """(cls, n, sigs) of each distinct set of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in T.chunks(batch.column(0)):
+                own = {_set_id(s): s for s in T.shingle_sets(data, offsets, words) if len(s)}
+                found = [_signatures(s, p, q).view(np.int64) for s in own.values()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own, pa.int64()), pa.array([len(s) for s in own.values()], pa.int64()), T.lists(found)], ["cls", "n", "sigs"]
                 )
 
     return run
 
 
-def _sets(words: int, bits):
+def _marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & (BITMAP_BITS - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _sets(words: int, bits, centres):
+    """(cls, f, part, central) of each distinct set of a batch whose bit is set, fragment by fragment."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = bits.value
         for batch in batches:
             for _, data, offsets in T.chunks(batch.column(0)):
-                seen: dict[int, np.ndarray] = {}
-                for s in T.shingle_sets(data, offsets, words):
-                    c = _set_id(s)
-                    at = c & (BITMAP_BITS - 1)
-                    if len(s) and wanted[at >> 3] >> (at & 7) & 1:
-                        seen[c] = s
-                cls, frag, part = [], [], []
-                for c, s in seen.items():
-                    cuts = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=T.U64) << T.U64(61))
-                    for f, x in enumerate(np.split(s, cuts)):
-                        cls.append(c)
-                        frag.append(f)
-                        part.append(x)
+                own = {_set_id(s): s for s in T.shingle_sets(data, offsets, words) if len(s)}
+                ids = np.array(list(own), np.int64)
+                keep, central = _marked(bits.value, ids), _marked(centres.value, ids)
+                cls, frag, part, middle = [], [], [], []
+                for c, k, m in zip(ids.tolist(), keep.tolist(), central.tolist(), strict=True):
+                    if k:
+                        cuts = np.searchsorted(own[c], np.arange(1, FRAGMENTS, dtype=T.U64) << T.U64(61))
+                        part += np.split(own[c], cuts)
+                        cls += [c] * FRAGMENTS
+                        frag += range(FRAGMENTS)
+                        middle += [m] * FRAGMENTS
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls, pa.int64()), pa.array(frag, pa.int32()), _lists(part)], ["cls", "f", "part"]
+                    [pa.array(cls, pa.int64()), pa.array(frag, pa.int32()), T.lists(part), pa.array(middle, pa.bool_())], ["cls", "f", "part", "central"]
                 )
 
     return run
 
 
-def _bitmap(classes: DataFrame) -> np.ndarray:
-    """Bit cls mod BITMAP_BITS is set for each class: at most BITMAP_BITS / 32 rows reach the driver."""
-    at = F.col("cls").bitwiseAND(F.lit(BITMAP_BITS - 1))
-    rows = (
-        classes.select(F.shiftright(at, 5).cast("int").alias("word"), at.bitwiseAND(F.lit(31)).cast("int").alias("bit"))
+def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """Bit (value mod BITMAP_BITS) is set for each value: at most BITMAP_BITS / 32 rows reach the driver."""
+    at = F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1))
+    words = (
+        rows.select(F.shiftright(at, 5).cast("int").alias("word"), at.bitwiseAND(F.lit(31)).cast("int").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(BITMAP_BITS // 32, np.uint32)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     return out.view(np.uint8)
 
 
@@ -162,19 +182,17 @@ def set_links(
     rows (u, v) between identities whose sets have similarity p/q or more. Every such pair is
     connected by a path of links (two sets that are linked to one centre aren't linked again).
     """
+    spark = docs.sparkSession
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    described = checkpoint(
-        source.mapInArrow(_describe(words, p, q), f"key {kind}, n bigint, cls bigint, sigs array<bigint>")
-    )
-    grams = described.filter("size(sigs) > 0").select("cls", "n", F.explode("sigs").alias("sig"))
-    shared = (
-        grams.groupBy("sig")
-        .agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("company"))
-        .filter("a <> b")
-        .select("sig", "company")
-    )
-    members = checkpoint(grams.join(shared, "sig").select("sig", "cls", "n", "company").distinct())
+    described = checkpoint(source.mapInArrow(_describe(words), f"key {kind}, n bigint, cls bigint"))
+    lists = "cls bigint, n bigint, sigs array<bigint>"
+    texts = source.select("text")
+    # fragment hashes that two sets have; a hot one is combined before the shuffle
+    grams = texts.mapInArrow(_fragments(words, p, q), lists).select(F.explode("sigs").alias("sig"), "cls", "n")
+    shared = grams.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("sig")
+    members = written(grams.join(shared, "sig").select("sig", "cls", "n").distinct(), "members")
+    members = members.join(members.groupBy("sig").agg(F.count("*").alias("company")), "sig")
     weight = members.groupBy("cls").agg(F.sum("company").alias("weight"))
     centres = (
         members.join(weight, "cls")
@@ -186,23 +204,21 @@ def set_links(
         members.join(centres, "sig").filter("c <> cls").select("c", "cn", F.col("cls").alias("x"), F.col("n").alias("xn")).distinct()
     )
     classes = stars.select(F.col("c").alias("cls")).union(stars.select(F.col("x").alias("cls")))
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(classes))
-    parts = checkpoint(
-        source.select("text")
-        .mapInArrow(_sets(words, bits), "cls bigint, f int, part array<bigint>")
-        .join(classes.distinct(), "cls", "left_semi")
-        .dropDuplicates(["cls", "f"])
+    bits, central = (spark.sparkContext.broadcast(_bitmap(c, "cls")) for c in (classes, stars.select(F.col("c").alias("cls"))))
+    parts = written(
+        texts.mapInArrow(_sets(words, bits, central), "cls bigint, f int, part array<bigint>, central boolean").dropDuplicates(["cls", "f"]), "parts"
     )
-    left = parts.select(F.col("cls").alias("c"), "f", F.col("part").alias("cp"))
+    left = parts.filter("central").select(F.col("cls").alias("c"), "f", F.col("part").alias("cp"))
     right = parts.select(F.col("cls").alias("x"), "f", F.col("part").alias("xp"))
     # partial overlaps, fragment by fragment: the difference of x from its centre
-    apart = checkpoint(
+    apart = written(
         stars.join(right, "x")
         .join(left, ["c", "f"])
         .select(
             "c", "cn", "x", "xn", "f",
             F.concat(F.array_except("xp", "cp"), F.array_except("cp", "xp")).alias("diff"),
-        )
+        ),
+        "differences",
     )
     compared = checkpoint(
         apart.groupBy("c", "x")
