@@ -5,19 +5,24 @@ fragments of that order twice over:
 
 * Candidates. Two sets of sizes a and b with Jaccard similarity t = p/q or more differ in at most
   (a + b)(q - p)/(q + p) n-grams. Sets are put into size intervals, each with its own number of
-  fragments K = d + 1 + s, where d is the largest difference that a pair of the interval may have.
-  At least s + 1 fragments of a similar pair are therefore equal. A set with at most s empty
-  fragments shares a fragment with n-grams in it; a set with more empty fragments adds the fragments
-  of a re-seeded order until one order leaves it at most s. So every similar pair shares the hash of
-  a fragment that isn't empty, and nothing else needs to be compared.
+  fragments K = d + m + s, where d is the largest difference that a pair of the interval may have.
+  At least m + s fragments of a similar pair are therefore equal. A set with at most s empty
+  fragments shares m fragments with n-grams in them; a set with more empty fragments adds the
+  fragments of a re-seeded order until one order leaves it at most s. So every similar pair shares
+  the hashes of m fragments that aren't empty (m is 1 for short sets and up to MATCHES for longer
+  ones), and nothing else needs to be compared: a set that shares fewer, as documents with a common
+  passage do, leaves.
 * Counting. For a pair to be verified the overlap is counted in each of FRAGMENTS coarse fragments
-  separately, and summed per pair.
+  separately, and summed per pair. Before that, each set has a parity map of about a bit an n-gram:
+  two maps differ in no more bits than the sets in n-grams, so a pair whose maps differ in too many
+  bits isn't similar and is not counted.
 
 Groups that share a fragment are never expanded into pairs. Each group elects the set with the
-most company as its centre, and each member is compared with the centre. Two members x and y that
-aren't both linked to the centre c can still be similar; |x ^ y| = |(x ^ c) ^ (y ^ c)|, so they are
-found by a prefix and position filter over their differences from the centre, least frequent n-grams
-first, which are short and hardly shared between unrelated members.
+most company as its centre, and each member is compared with the centre. Two members x and y of a
+group of three or more that aren't both linked to the centre c can still be similar;
+|x ^ y| = |(x ^ c) ^ (y ^ c)|, so they are found by a prefix and position filter over their
+differences from the centre, least frequent n-grams first, which are short and hardly shared between
+unrelated members.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from pyspark.sql import functions as F
 from snapweave.llm import _text as T
 from snapweave.llm._tables import checkpoint, components, written
 
+#: Fragments with n-grams in them that similar sets share, from sets of MATCHES * 24 n-grams on; 8 at most.
+MATCHES = 8
 #: Coarse fragments in which overlaps are counted.
 FRAGMENTS = 8
 #: Bits of the fixed-size map that keeps sets out of the shuffle which no pair needs.
@@ -49,8 +56,8 @@ def _cost(parts: int, spare: int, size: float) -> float:
 
 
 @lru_cache(maxsize=8)
-def intervals(p: int, q: int, top: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Lower bounds of the size intervals up to size top, and (K, s) of each."""
+def intervals(p: int, q: int, top: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Lower bounds of the size intervals up to size top, and (K, s, m) of each."""
     ratio = max(1.6, q / p + 0.1)
     low = [1]
     while low[-1] <= top:
@@ -59,21 +66,22 @@ def intervals(p: int, q: int, top: int) -> tuple[np.ndarray, list[tuple[int, int
     for a, b in zip(low, low[1:], strict=False):
         d = 2 * (b - 1) * (q - p) // (q + p)
         # the spare that costs least: fragments with n-grams in them, times the orders tried
-        costs = [(_cost(d + 1 + s, s, a * p / q), s) for s in sorted({*range(1, 9), *(i * (d + 9) // 24 for i in range(1, 25))})]
+        m = min(max(a // 24, 1), MATCHES)
+        costs = [(_cost(d + m + s, s, a * p / q), s) for s in sorted({*range(1, 9), *(i * (d + 9) // 24 for i in range(1, 25))})]
         s = min(c for c in costs if c[1] > 0)[1]
-        cuts.append((d + 1 + s if d else 0, s))
+        cuts.append((d + m + s if d else 0, s, m))
     return np.array(low), cuts
 
 
 def _signatures(h: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Fragment hashes of a sorted set; none if only an equal set can be similar."""
+    """Fragment hashes of a sorted set, m - 1 in the last three bits; none if only an equal set can be similar."""
     n = len(h)
     low, cuts = intervals(p, q, 1 << max(20, (2 * n * q // p).bit_length()))
     first = int(np.searchsorted(low, n, "right")) - 1
     last = int(np.searchsorted(low, n * q // p, "right")) - 1
     out = []
     for k in range(first, last + 1):
-        parts, spare = cuts[k]
+        parts, spare, least = cuts[k]
         if not parts:
             continue
         seed, x = 0, h
@@ -82,7 +90,7 @@ def _signatures(h: np.ndarray, p: int, q: int) -> np.ndarray:
             start = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
             total = np.add.reduceat(T.mix(x * _ODD), start)
             tag = at[start] + T.U64((k << 40) + (seed << 32))
-            out.append(T.mix(total ^ T.mix(tag)) >> T.U64(16))
+            out.append((T.mix(total ^ T.mix(tag)) >> T.U64(16) << T.U64(3)) + T.U64(least - 1))
             if parts - len(start) <= spare:
                 break
             seed += 1
@@ -96,8 +104,36 @@ def _set_id(h: np.ndarray) -> int:
         return int(T.mix((T.mix(h).sum(dtype=T.U64) * _ODD + T.U64(len(h))).reshape(1))[0].view(np.int64))
 
 
+def _parity(h: np.ndarray) -> bytes:
+    """For each of 2**k >= len(h) values of the low bits: whether an odd number of n-grams have it."""
+    size = 1 << max(6, (len(h) - 1).bit_length())
+    odd = np.bincount((h & T.U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    """Bits in which two parity maps differ, the longer folded to the shorter's length: at most |a ^ b|."""
+    x, y = (np.frombuffer(m, T.U64) for m in (a, b))
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(m.reshape(-1, n), axis=0) for m in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _possible(p: int, q: int):
+    """The column `near` of pairs (u, un, v, vn, umap, vmap): whether their maps let them be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, un, v, vn, one, two = batch.columns
+            room = (un.to_numpy() + vn.to_numpy()) * (q - p) // (p + q)
+            apart = np.array([_differ(a, b) for a, b in zip(one.to_pylist(), two.to_pylist(), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([u, un, v, vn, pa.array(apart <= room)], ["u", "un", "v", "vn", "near"])
+
+    return run
+
+
 def _describe(words: int):
-    """(key, n, cls) of each row."""
+    """(key, n, cls, parity) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,24 +144,23 @@ def _describe(words: int):
                         batch.column(0).slice(row, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_set_id(s) for s in sets], pa.int64()),
+                        pa.array([_parity(s) for s in sets], pa.binary()),
                     ],
-                    ["key", "n", "cls"],
+                    ["key", "n", "cls", "parity"],
                 )
 
     return run
 
 
 def _fragments(words: int, p: int, q: int):
-    """(cls, n, sigs) of each distinct set of a batch."""
+    """(cls, sigs) of each distinct set of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in T.chunks(batch.column(0)):
                 own = {_set_id(s): s for s in T.shingle_sets(data, offsets, words) if len(s)}
                 found = [_signatures(s, p, q).view(np.int64) for s in own.values()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int64()), pa.array([len(s) for s in own.values()], pa.int64()), T.lists(found)], ["cls", "n", "sigs"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), T.lists(found)], ["cls", "sigs"])
 
     return run
 
@@ -185,85 +220,102 @@ def set_links(
     spark = docs.sparkSession
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    described = checkpoint(source.mapInArrow(_describe(words), f"key {kind}, n bigint, cls bigint"))
-    lists = "cls bigint, n bigint, sigs array<bigint>"
+    described = written(source.mapInArrow(_describe(words), f"key {kind}, n bigint, cls bigint, parity binary"), "sets")
     texts = source.select("text")
-    # fragment hashes that two sets have; a hot one is combined before the shuffle
-    grams = texts.mapInArrow(_fragments(words, p, q), lists).select(F.explode("sigs").alias("sig"), "cls", "n")
-    shared = grams.groupBy("sig").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("sig")
-    members = written(grams.join(shared, "sig").select("sig", "cls", "n").distinct(), "members")
-    members = members.join(members.groupBy("sig").agg(F.count("*").alias("company")), "sig")
+    # fragment hashes that two rows have; a hot one is counted before the shuffle
+    grams = texts.mapInArrow(_fragments(words, p, q), "cls bigint, sigs array<bigint>").select(F.explode("sigs").alias("sig"), "cls")
+    shared = grams.groupBy("sig").count().filter("count > 1").select("sig")
+    # a set that shares fewer fragments than similar sets do has no partner
+    members = written(grams.join(shared, "sig").select("sig", "cls").distinct(), "members")
+    least = F.col("sig").bitwiseAND(F.lit(7)).alias("least")
+    alone = checkpoint(members.groupBy("cls", least).count().filter("count <= least").select("cls", "least"))
+    members = written(members.select("*", least).join(alone, ["cls", "least"], "left_anti").select("sig", "cls"), "sharing")
+    company = members.groupBy("sig").agg(F.count("*").alias("company")).filter("company > 1")
+    members = members.join(company, "sig")
     weight = members.groupBy("cls").agg(F.sum("company").alias("weight"))
-    centres = (
-        members.join(weight, "cls")
-        .groupBy("sig")
-        .agg(F.max(F.struct("weight", "cls", "n")).alias("top"))
-        .select("sig", F.col("top.cls").alias("c"), F.col("top.n").alias("cn"))
-    )
-    stars = checkpoint(
-        members.join(centres, "sig").filter("c <> cls").select("c", "cn", F.col("cls").alias("x"), F.col("n").alias("xn")).distinct()
-    )
-    classes = stars.select(F.col("c").alias("cls")).union(stars.select(F.col("x").alias("cls")))
-    bits, central = (spark.sparkContext.broadcast(_bitmap(c, "cls")) for c in (classes, stars.select(F.col("c").alias("cls"))))
+    centres = members.join(weight, "cls").groupBy("sig").agg(F.max(F.struct("weight", "cls")).alias("top")).select("sig", F.col("top.cls").alias("c"))
+    groups = written(members.join(centres, "sig").filter("c <> cls").select("sig", "c", F.col("cls").alias("x"), "company"), "groups")
+    # each centre against its members, by their parity maps first
+    classes = groups.select(F.col("c").alias("cls")).union(groups.select(F.col("x").alias("cls"))).distinct()
+    maps = written(described.join(classes, "cls").groupBy("cls").agg(F.min(F.struct("n", "parity")).alias("m")).select("cls", "m.*"), "maps")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        sided = pairs.join(maps.toDF("u", "un", "umap"), "u").join(maps.toDF("v", "vn", "vmap"), "v")
+        return sided.select("u", "un", "v", "vn", "umap", "vmap").mapInArrow(_possible(p, q), "u bigint, un bigint, v bigint, vn bigint, near boolean")
+
+    stars = checkpoint(possible(groups.select(F.col("c").alias("u"), F.col("x").alias("v")).distinct()).toDF("c", "cn", "x", "xn", "near"))
+    close = stars.filter("near")
+    many = groups.filter("company > 2")
+    # sets that may be counted: those near a centre, and those of larger groups that have a member far from theirs
+    wide = many.join(stars.filter("not near").select("c", "x"), ["c", "x"]).select("sig").distinct()
+    wide = many.join(wide, "sig", "left_semi").select("c", "x")
+    used = close.select("c", "x").union(wide).union(many.join(close.select("c", "x"), ["c", "x"], "left_semi").select("c", "x"))
+    bits = _bitmap(used.select(F.col("c").alias("cls")).union(used.select(F.col("x").alias("cls"))), "cls")
+    bits, central = (spark.sparkContext.broadcast(b) for b in (bits, _bitmap(used.select("c"), "c")))
     parts = written(
         texts.mapInArrow(_sets(words, bits, central), "cls bigint, f int, part array<bigint>, central boolean").dropDuplicates(["cls", "f"]), "parts"
     )
     left = parts.filter("central").select(F.col("cls").alias("c"), "f", F.col("part").alias("cp"))
     right = parts.select(F.col("cls").alias("x"), "f", F.col("part").alias("xp"))
-    # partial overlaps, fragment by fragment: the difference of x from its centre
-    apart = written(
-        stars.join(right, "x")
-        .join(left, ["c", "f"])
-        .select(
-            "c", "cn", "x", "xn", "f",
-            F.concat(F.array_except("xp", "cp"), F.array_except("cp", "xp")).alias("diff"),
-        ),
-        "differences",
-    )
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Fragment by fragment, the difference of x from its centre."""
+        diff = F.concat(F.array_except("xp", "cp"), F.array_except("cp", "xp"))
+        return pairs.join(right, "x").join(left, ["c", "f"]).select(*pairs.columns, "f", diff.alias("diff"))
+
     compared = checkpoint(
-        apart.groupBy("c", "x")
-        .agg(F.sum(F.size("diff")).alias("d"), F.max("cn").alias("cn"), F.max("xn").alias("xn"))
-        .withColumn("near", F.col("d") * (p + q) <= (F.col("cn") + F.col("xn")) * (q - p))
+        apart(close.select("c", "cn", "x", "xn"))
+        .groupBy("c", "x", "cn", "xn")
+        .agg(F.sum(F.size("diff")).alias("d"))
+        .filter(F.col("d") * (p + q) <= (F.col("cn") + F.col("xn")) * (q - p))
+        .select("c", "x")
+        .withColumn("near", F.lit(True))
     )
-    # members that are not linked to a centre, against its other members
-    open_centres = compared.filter("not near").select("c").distinct()
-    delta = apart.join(compared.select("c", "x", "d", "near"), ["c", "x"]).join(open_centres, "c", "left_semi")
-    grams = delta.select("c", "x", "xn", "d", "near", F.explode("diff").alias("g"))
+    # members that are not linked to a centre, against its other members in the groups that they share
+    told = many.join(compared, ["c", "x"], "left").select("sig", "c", "x", F.coalesce("near", F.lit(False)).alias("near"))
+    unsure = told.filter("not near").select("sig").distinct()
+    again = told.join(unsure, "sig", "left_semi")
+    # two such members share so many of these groups
+    enough = again.groupBy("x", least).count().filter("count > least").select("x").distinct()
+    again = again.select("c", "x", "near").distinct().join(enough, "x", "left_semi")
+    delta = written(apart(again.join(stars.select("c", "x", "xn"), ["c", "x"])), "differences")
+    grams = delta.select("c", "x", "xn", "near", F.explode("diff").alias("g"))
     df = grams.groupBy("c", "g").agg(F.count("*").alias("df")).filter("df > 1")
     allowed = F.expr(f"(xn + floor(xn * {q} / {p})) * {q - p} div {p + q}")
     ranked = (
         # a gram in one difference only takes a place in the prefix but joins with nothing
         grams.join(df, ["c", "g"], "left")
         .withColumn("df", F.coalesce("df", F.lit(1)))
-        .groupBy("c", "x", "xn", "d", "near")
+        .groupBy("c", "x", "xn", "near")
         .agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("all"))
-        .select("c", "x", "xn", "d", "near", F.posexplode(F.slice("all", 1, (allowed + 1).cast("int"))).alias("pos", "e"))
+        .select("c", "x", "xn", F.size("all").alias("d"), "near", F.posexplode(F.slice("all", 1, (allowed + 1).cast("int"))).alias("pos", "e"))
         .filter("e.df > 1")
         .select("c", "x", "xn", "d", "near", "pos", F.col("e.g").alias("g"))
     )
-    ranked = checkpoint(ranked)
+    ranked = written(ranked, "ranked")
     other = ranked.select(
         "c", "g", F.col("x").alias("y"), F.col("xn").alias("yn"), F.col("d").alias("yd"),
         F.col("near").alias("ynear"), F.col("pos").alias("ypos"),
     )
     room = f"(xn + yn) * {q - p} div {p + q}"
-    pairs = checkpoint(
+    pairs = (
         ranked.join(other, ["c", "g"])
         .filter(f"x < y and not (near and ynear) and pos + ypos <= {room} and abs(d - yd) <= {room}")
-        .select("c", "x", "xn", "d", "y", "yn", "yd")
+        .select(F.col("x").alias("u"), F.col("y").alias("v"))
         .distinct()
     )
-    one = apart.select("c", "x", "f", F.col("diff").alias("xdiff"))
-    two = apart.select("c", F.col("x").alias("y"), "f", F.col("diff").alias("ydiff"))
+    pairs = checkpoint(possible(pairs).filter("near").select("u", "un", "v", "vn"))
+    one = parts.select(F.col("cls").alias("u"), "f", F.col("part").alias("up"))
+    two = parts.select(F.col("cls").alias("v"), "f", F.col("part").alias("vp"))
     found = (
-        pairs.join(one, ["c", "x"])
-        .join(two, ["c", "y", "f"])
-        .groupBy("x", "y", "c", "xn", "yn", "d", "yd")
-        .agg(F.sum(F.size(F.array_intersect("xdiff", "ydiff"))).alias("both"))
-        .filter(f"(d + yd - 2 * both) * {p + q} <= (xn + yn) * {q - p}")
-        .select(F.col("x").alias("u"), F.col("y").alias("v"))
+        pairs.join(one, "u")
+        .join(two, ["v", "f"])
+        .groupBy("u", "v", "un", "vn")
+        .agg(F.sum(F.size(F.array_intersect("up", "vp"))).alias("both"))
+        .filter(f"(un + vn - 2 * both) * {p + q} <= (un + vn) * {q - p}")
+        .select("u", "v")
     )
-    links = compared.filter("near").select(F.col("c").alias("u"), F.col("x").alias("v")).union(found).distinct()
+    links = compared.select(F.col("c").alias("u"), F.col("x").alias("v")).union(found).distinct()
     return described.select("key", "n", "cls"), links
 
 
