@@ -29,9 +29,10 @@ ALPHA, STEPS = 0.75, 4
 #: A group needs so many documents of its own; smaller ones share an estimate per language.
 LEAST = 60
 #: Chance that a normal document is beyond the cut.
-BEYOND = 1e-7
-#: Least standard deviation of each transformed statistic: constant statistics don't reject.
-FLOORS = (0.08, 0.1, 0.15, 0.12, 0.1, 0.08)
+BEYOND = 1e-3
+#: Least standard deviation of each transformed statistic, below the estimates of the continuous ones. Repeats
+#: are 0 in most documents, so the estimate of what is kept says nothing about ordinary repeats: theirs are wide.
+FLOORS = (0.01, 0.03, 0.15, 0.12, 0.005, 0.005)
 P = len(FLOORS)
 _GRID, _FINE = 256, 32
 

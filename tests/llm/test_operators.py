@@ -314,6 +314,20 @@ def test_outliers_are_rejected_and_the_rest_kept(spark):
     assert abs(outliers.chi2_quantile(0.99, 6) - 16.812) < 1e-2
 
 
+def test_few_symbols_are_rejected(spark):
+    r = random.Random(11)
+    words = lambda: ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 10))) for _ in range(200)]
+    rows = [(i, " ".join(words()), "en", "s") for i in range(300)]
+    for i, share in enumerate([0.05, 0.08, 0.1, 0.12, 0.15] * 4):
+        text = " ".join(words())
+        letters = [j for j, c in enumerate(text) if c != " "]
+        marked = set(r.sample(letters, round(share * len(letters))))
+        rows.append((1000 + i, "".join("#" if j in marked else c for j, c in enumerate(text)), "en", "s"))
+    got = outliers.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {x.doc_id for x in got if not x.kept} >= set(range(1000, 1020))
+    assert sum(x.kept for x in got if x.doc_id < 1000) >= 294
+
+
 def labelled(seed=1, n=400):
     r = random.Random(seed)
     rows, marks = [], []
