@@ -178,15 +178,15 @@ def references(documents: DataFrame, key: str, adapter: str, source: str) -> Dat
 
 
 def sample_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, adapter, source): texts with markup of each adapter around them, for the tables' texts have none."""
+    """(doc_id, adapter, source): whole texts with markup of each adapter around them, for the tables' texts have none."""
     n = F.col("doc_id").cast("string")
-    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
-    md = F.concat(F.lit("# Title "), n, F.lit("\n\n"), first, F.lit(" [next](doc-"), n, F.lit(".md#top) ![i](<a b.png>) `[no](x)` [r][]\n\n```\n[no](code)\n```\n\n[r]: ref.md\n"))
-    rs = F.concat(F.lit("Title "), n, F.lit("\n==========================\n\n.. image:: pic.png\n\n.. _label-"), n, F.lit(":\n\nSee :doc:`guide/x` and `y <z.rst>`_.\n\n"), first, F.lit("\n"))
-    ad = F.concat(F.lit("= Title "), n, F.lit("\n\nxref:doc-"), n, F.lit(".adoc#a[x] <<sec>> `link:no[x]`\n\n----\nlink:no[x]\n----\n[[anchor]]\n"), first, F.lit("\n"))
+    body = F.coalesce("text", F.lit(""))
+    md = F.concat(F.lit("# Title "), n, F.lit("\n\n"), body, F.lit(" [next](doc-"), n, F.lit(".md#top) ![i](<a b.png>) `[no](x)` [r][]\n\n```\n[no](code)\n```\n\n[r]: ref.md\n"))
+    rs = F.concat(F.lit("Title "), n, F.lit("\n==========================\n\n.. image:: pic.png\n\n.. _label-"), n, F.lit(":\n\nSee :doc:`guide/x` and `y <z.rst>`_.\n\n"), body, F.lit("\n"))
+    ad = F.concat(F.lit("= Title "), n, F.lit("\n\nxref:doc-"), n, F.lit(".adoc#a[x] <<sec>> `link:no[x]`\n\n----\nlink:no[x]\n----\n[[anchor]]\n"), body, F.lit("\n"))
     k = F.col("doc_id") % 4
     adapter = F.when(k == 0, "markdown").when(k == 1, "rst").when(k == 2, "asciidoc")
-    return documents.select("doc_id", adapter.alias("adapter"), F.when(k == 0, md).when(k == 1, rs).when(k == 2, ad).otherwise(first).alias("source"))
+    return documents.select("doc_id", adapter.alias("adapter"), F.when(k == 0, md).when(k == 1, rs).when(k == 2, ad).otherwise(body).alias("source"))
 
 
 def percent_decoded(text: str) -> tuple[bytes | None, str | None]:

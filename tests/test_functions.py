@@ -119,3 +119,19 @@ def test_references_are_parsed_once_and_never_throw(spark):
     df = spark.createDataFrame([(1, "markdown", "[a](b)"), (2, "markdown", "[a](b)"), (3, None, "[a](b)"), (4, "rst", None)], "doc_id long, adapter string, source string")
     got = [tuple(r) for r in grammar.references(df, "doc_id", "adapter", "source").orderBy("doc_id").collect()]
     assert got == [(1, 0, 0, "link", "b", None), (2, 0, 0, "link", "b", None)]
+
+
+def test_sample_documents_hold_references_of_every_line(spark):
+    inner = ["plain\n\n[a](b.md) and ![i](p.png)\n# Head\n", "plain\n\nSee :doc:`g/x`\n\n.. image:: q.png\n", "plain\n\nxref:b.adoc#c[d]\n\nimage::z.png[]\n"]
+    rows = [(i, inner[i % 4] + "word\n" * (30_000 if i > 7 else i) + inner[i % 4]) for i in range(12) if i % 4 < 3] + [(20, None)]
+    got = {}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sources = {r.doc_id: r.source for r in grammar.sample_documents(docs).collect()}
+    for r in grammar.references(grammar.sample_documents(docs), "doc_id", "adapter", "source").orderBy("doc_id", "position").collect():
+        assert r.error is None
+        got.setdefault(r.doc_id, []).append((r.start, r.construct, r.value))
+    own = [[("link", "b.md"), ("image", "p.png"), ("heading", "Head")], [("doc", "g/x.rst"), ("image", "q.png")], [("xref", "b.adoc#c"), ("image", "z.png")]]
+    for d, t in rows[:-1]:
+        found = [(c, v) for _, c, v in got[d]]
+        assert all(found.count(x) == 2 for x in own[d % 4]), (d, found)
+        assert t in sources[d] and got[d] == grammar.PARSERS[("markdown", "rst", "asciidoc")[d % 4]](sources[d])
