@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-1. Lexicons. Words, and the first 4, 5 and 6 bytes of longer words, are tokens. Of the tokens of the
-   labelled sample, those that toxic texts have at least exp(EVIDENCE) times as often as others are
+1. Lexicons. Words, and the first 4, 5 and 6 bytes of longer words, are tokens. Of the tokens of all
+   rows that may be learned from, those that toxic texts have at least exp(EVIDENCE) times as often as others are
    dealt to LEXICONS lexicon voters.
 2. Votes. A lexicon votes toxic where a text has one of its tokens, else abstains. Pattern voters look
    at shouting, exclamation marks, masked letters, stretched words and short lines of insults; one voter
@@ -12,7 +12,9 @@
 4. Classifier. A logistic regression on token presence and pattern strengths is trained on the
    posterior labels of the sample, and scores every whole text: a sum over the tokens that it has.
 
-The sample is the `most` labelled rows that are least by hash; it bounds what reaches the driver.
+The sample is the `most` labelled rows that are least by hash, and about EACH rows of each lexicon
+token that these would have less often, so that every token gets a weight; it bounds what reaches the
+driver.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from snapweave.llm.decontamination import normal
 
 MOST = 10_000
 TOKENS, LEXICONS, EVIDENCE, LEAST = 600, 16, 3.0, 3
+#: Rows of a token that the sample holds at least, about, or all if there are fewer.
+EACH = 10
 PREFIXES = (4, 5, 6)
 _BITS = 1 << 20
 PATTERNS = ("shouting", "exclamations", "masked letters", "stretched words", "short words")
@@ -110,10 +114,17 @@ class Lexicon:
 
 def _featured(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, times = shared.value
         for batch in batches:
+            drawn, place = batch.column(3).to_numpy(zero_copy_only=False), batch.column(2).to_numpy().view(T.U64)
             for first, data, offsets in T.chunks(batch.column(0)):
                 row, token, patterns = tokens(data, offsets)
-                r, t = shared.value.hits(row, token)
+                r, t = lexicon.hits(row, token)
+                # times is 0 for tokens that the drawn rows have often enough
+                rare = times[t] > 0
+                chance = T.mix(place[first + r[rare]] + T.mix(t[rare].astype(T.U64))) % times[t[rare]]
+                keep = drawn[first : first + len(patterns)].copy()
+                keep[r[rare][chance < EACH]] = True
                 cuts = np.searchsorted(r, np.arange(len(offsets)))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -123,7 +134,7 @@ def _featured(shared):
                         pa.array(list(patterns), pa.list_(pa.float64())),
                     ],
                     ["y", "place", "hits", "patterns"],
-                )
+                ).filter(pa.array(keep))
 
     return run
 
@@ -234,13 +245,14 @@ def toxicity_scores(
         .agg(F.max(label).cast("int").alias("y"))
     )
     taught = checkpoint(taught)
-    taught = checkpoint(bounded(taught, ["key"], most, taught.count()))
-    sample = source.join(maybe_broadcast(taught), "key").select("text", "y", F.xxhash64("key", "text").alias("place"))
-    sample = checkpoint(sample.repartition(max(1, spark.sparkContext.defaultParallelism * 2)))
-    bad, total = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    known = taught.count()
+    drawn = checkpoint(bounded(taught, ["key"], most, known).select("key", F.lit(True).alias("drawn")))
+    taught = checkpoint(taught.join(maybe_broadcast(drawn), "key", "left").withColumn("drawn", F.coalesce("drawn", F.lit(False))))
+    labelled = source.filter(F.col("key").isNotNull() & (fold("key", folds) != held_out)).join(maybe_broadcast(taught, known), "key")
+    bad, total = labelled.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / (total - bad + 1.0))
     chosen = (
-        sample.mapInArrow(_counts, "token bigint, bad bigint, n bigint")
+        labelled.select("text", "y").mapInArrow(_counts, "token bigint, bad bigint, n bigint")
         .groupBy("token")
         .agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
         .filter(F.col("bad") >= LEAST)
@@ -254,8 +266,11 @@ def toxicity_scores(
     k = len(chosen)
     w, b = np.zeros(k + len(PATTERNS)), -4.0
     if k:
+        few = [r.n if r.n * most < EACH * known else 0 for r in chosen]
+        shared = spark.sparkContext.broadcast((lexicon, np.array(few, T.U64)))
         rows = (
-            sample.mapInArrow(_featured(spark.sparkContext.broadcast(lexicon)), "y int, place bigint, hits array<bigint>, patterns array<double>")
+            labelled.select("text", "y", F.xxhash64("key", "text").alias("place"), "drawn")
+            .mapInArrow(_featured(shared), "y int, place bigint, hits array<bigint>, patterns array<double>")
             .orderBy("place")
             .toPandas()
         )
@@ -263,7 +278,7 @@ def toxicity_scores(
         for i, h in enumerate(rows["hits"]):
             hits[i, h] = True
         patterns = np.stack(rows["patterns"].to_list())
-        model = LabelModel(v := votes(hits, patterns), bad / total)
+        model = LabelModel(v := votes(hits, patterns), float(rows["y"].mean()))
         fitted = Linear(np.concatenate([hits, patterns], axis=1), model.posterior(v))
         w, b = fitted.w, fitted.b
     kind = source.schema["key"].dataType.simpleString()

@@ -353,6 +353,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert got[9999].predicted == got[9998].predicted == 0 and all(0 <= x.score <= 1 for x in got.values())
 
 
+def test_toxicity_learns_words_outside_the_sample(spark):
+    """Each rare word is in 8 toxic rows of 4,000 and is all that is toxic in them; the sample draws 400 rows."""
+    rows, marks = labelled(n=4000)
+    rare = ["odious", "putrid", "zzyzzy", "quxqux", "wretch"]
+    texts = dict(rows)
+    learned = [d for d, _, t in marks if t and zlib.crc32(str(d).encode()) % 5][:40]
+    for i, d in enumerate(learned):
+        texts[d] = f"{texts[d + 1]} {rare[i // 8]}"
+    clean = texts[1]
+    docs = table(spark, [*texts.items(), *[(10_000 + i, f"{clean} {w}") for i, w in enumerate(rare)], (20_000, clean)])
+    got = {x.doc_id: x for x in toxicity.toxicity_scores(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), most=400).collect()}
+    assert all(got[10_000 + i].predicted for i in range(5)), [got[10_000 + i].score for i in range(5)]
+    assert not got[20_000].predicted
+
+
 def test_label_model_finds_accuracies():
     r = np.random.default_rng(3)
     y = r.random(3000) < 0.3
