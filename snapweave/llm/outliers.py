@@ -26,7 +26,7 @@ from snapweave.llm._tables import checkpoint, maybe_broadcast
 
 #: Share of a group that a concentration step keeps, and the number of steps.
 ALPHA, STEPS = 0.75, 4
-#: A group needs so many documents of its own; smaller ones share an estimate per language.
+#: A group needs so many documents of its own; smaller ones take the estimate of their language, or of all.
 LEAST = 60
 #: Chance that a normal document is beyond the cut.
 BEYOND = 1e-3
@@ -145,8 +145,9 @@ def judged(
     base_failed: fewer than 50 words, or more than half of them in runs of three words that the text
     has twice or more. kept is false if base_failed, or if the squared distance is beyond the cut.
     Estimates are fitted to the documents that aren't base_failed. Null languages and sources are
-    groups of their own; groups of fewer than LEAST documents share an estimate per language, and where
-    that has fewer too, the distance is null and the base rules decide. Empty and null texts are
+    groups of their own; groups of fewer than LEAST documents take the estimate of all documents of
+    their language, and where that has fewer too, of all documents. Only if all are fewer than LEAST, the
+    distance is null and the base rules decide. Empty and null texts are
     base_failed; an empty table gives an empty table; other columns are not read.
     """
     rows = _stats.counted(docs, text, key=key, lang=lang, source=source).select(
@@ -159,14 +160,21 @@ def judged(
     )
     rows = checkpoint(rows)
     fit = rows.filter("not base_failed")
-    sizes = fit.groupBy("fine", "wide").agg(F.count("*").alias("n"))
-    own = sizes.filter(F.col("n") >= LEAST).select("fine", F.col("fine").alias("g"))
-    shared = sizes.filter(F.col("n") < LEAST)
-    enough = shared.groupBy("wide").agg(F.sum("n").alias("all")).filter(F.col("all") >= LEAST).select("wide")
-    own = checkpoint(own.union(shared.join(enough, "wide").select("fine", F.col("wide").alias("g"))))
-    rows = rows.join(maybe_broadcast(own), "fine", "left")
+    every = F.lit("")
+    sizes = checkpoint(fit.groupBy("fine", "wide").agg(F.count("*").alias("n")))
+    # what each small group falls back to, and for each group the estimates that it is fitted to
+    wide = sizes.groupBy("wide").agg(F.sum("n").alias("n_wide"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    level = (
+        F.when(F.col("n") >= LEAST, F.col("fine")).when(F.col("n_wide") >= LEAST, F.col("wide")).when(F.lit(total >= LEAST), every)
+    )
+    own = checkpoint(sizes.join(wide, "wide").select("fine", "wide", level.alias("g")))
+    used = own.select("g").distinct()
+    fitted = own.select("fine", F.explode(F.array("fine", "wide", every)).alias("g")).join(used, "g", "left_semi")
     names = [f"z{i}" for i in range(P)]
-    estimates = _estimates(rows.filter("not base_failed and g is not null").select("g", *names))
+    fitted = checkpoint(fitted)
+    estimates = _estimates(fit.join(maybe_broadcast(fitted), "fine").select("g", *names))
+    rows = rows.join(maybe_broadcast(own.select("fine", "g")), "fine", "left")
     cut = chi2_quantile(1 - BEYOND, P)
     return (
         rows.join(maybe_broadcast(estimates), "g", "left")

@@ -328,6 +328,18 @@ def test_few_symbols_are_rejected(spark):
     assert sum(x.kept for x in got if x.doc_id < 1000) >= 294
 
 
+def test_small_groups_are_judged_by_their_language_or_by_all(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 10)))
+    clean = lambda i, lang, source: (i, " ".join(word() for _ in range(200)), lang, source)
+    junk = lambda i, lang, source: (i, " ".join(word() + "###" for _ in range(100)), lang, source)
+    rows = [clean(i, "en", "large") for i in range(200)] + [clean(200 + i, "en", "small") for i in range(5)] + [clean(300 + i, "xx", "s") for i in range(5)]
+    rows += [junk(1000, "en", "small"), junk(1001, "xx", "s"), junk(1002, None, None)]
+    got = {x.doc_id: x for x in outliers.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[d].kept for d in (1000, 1001, 1002)) and all(x.distance is not None for x in got.values())
+    assert sum(x.kept for d, x in got.items() if d < 1000) >= 207
+
+
 def labelled(seed=1, n=400):
     r = random.Random(seed)
     rows, marks = [], []
