@@ -1,35 +1,33 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of n-grams is the order of their 64-bit hashes. A document's set is cut into
-fragments of that order twice over:
-
-* Candidates. Two sets of sizes a and b with Jaccard similarity t = p/q or more differ in at most
-  (a + b)(q - p)/(q + p) n-grams. Sets are put into size intervals, each with its own number of
-  fragments K = d + m + s, where d is the largest difference that a pair of the interval may have.
-  At least m + s fragments of a similar pair are therefore equal. A set with at most s empty
-  fragments shares m fragments with n-grams in them; a set with more empty fragments adds the
-  fragments of a re-seeded order until one order leaves it at most s. So every similar pair shares
-  the hashes of m fragments that aren't empty (m is 1 for short sets and up to MATCHES for longer
-  ones), and nothing else needs to be compared: a set that shares fewer, as documents with a common
-  passage do, leaves.
+The global order of n-grams is the order of their 64-bit hashes, and sets are cut along it.
+
+* Candidates. A set of n n-grams lacks at most e = n(q - p) div q of them in a set that has Jaccard
+  similarity p/q or more with it. Its first fragment is its first e + m n-grams, m = n div SPARE. Of
+  two similar sets the first fragments share m n-grams at least (m of the smaller set): the m-th
+  common n-gram has fewer than m common and at most e other n-grams before it. So the n-grams of
+  first fragments are counted once, and a set that shares fewer than m of its own with any others,
+  as documents with a common passage do, leaves before anything is compared.
 * Counting. For a pair to be verified the overlap is counted in each of FRAGMENTS coarse fragments
   separately, and summed per pair. Before that, each set has a parity map of about a bit an n-gram:
   two maps differ in no more bits than the sets in n-grams, so a pair whose maps differ in too many
   bits isn't similar and is not counted.
 
-Groups that share a fragment are never expanded into pairs. Each group elects the set with the
-most company as its centre, and each member is compared with the centre. Two members x and y of a
-group of three or more that aren't both linked to the centre c can still be similar;
-|x ^ y| = |(x ^ c) ^ (y ^ c)|, so they are found by a prefix and position filter over their
-differences from the centre, least frequent n-grams first, which are short and hardly shared between
-unrelated members.
+Groups that share an n-gram are never expanded into pairs. Each group elects as its centre the set
+that has most of its first fragment in common with others, and each member is compared with the
+centre. Two members x and y of a group of three or more that aren't both linked to the centre c can
+still be similar; |x ^ y| = |(x ^ c) ^ (y ^ c)|, so they are found by a prefix and position filter
+over their differences from the centre, least frequent n-grams first, which are short and hardly
+shared between unrelated members.
+
+Hot n-grams: what is grouped is pre-aggregated before the shuffle, and what is joined by n-gram or
+centre are rows of a few longs in sort-merge joins, which adaptive execution splits where one key
+is hot.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,67 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapweave.llm import _text as T
-from snapweave.llm._tables import checkpoint, components, written
+from snapweave.llm._tables import checkpoint, components, maybe_broadcast, written
 
-#: Fragments with n-grams in them that similar sets share, from sets of MATCHES * 24 n-grams on; 8 at most.
-MATCHES = 8
+#: One n-gram of SPARE is added to the first fragment, and has to be shared there.
+SPARE = 10
 #: Coarse fragments in which overlaps are counted.
 FRAGMENTS = 8
-#: Bits of the fixed-size map that keeps sets out of the shuffle which no pair needs.
-BITMAP_BITS = 1 << 24
 _ODD = T.U64(0xA24BAED4963EE407)
 
 
-def _cost(parts: int, spare: int, size: float) -> float:
-    """Hashes that a set of that size emits: its empty fragments are about Poisson distributed."""
-    empty = parts * math.exp(-size / parts)
-    within = sum(math.exp(i * math.log(empty) - empty - math.lgamma(i + 1)) for i in range(spare + 1))
-    return (parts - empty) / max(within, 1e-9)
-
-
-@lru_cache(maxsize=8)
-def intervals(p: int, q: int, top: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Lower bounds of the size intervals up to size top, and (K, s, m) of each."""
-    ratio = max(1.6, q / p + 0.1)
-    low = [1]
-    while low[-1] <= top:
-        low.append(max(low[-1] + 1, math.ceil(low[-1] * ratio)))
-    cuts = []
-    for a, b in zip(low, low[1:], strict=False):
-        d = 2 * (b - 1) * (q - p) // (q + p)
-        # the spare that costs least: fragments with n-grams in them, times the orders tried
-        m = min(max(a // 24, 1), MATCHES)
-        costs = [(_cost(d + m + s, s, a * p / q), s) for s in sorted({*range(1, 9), *(i * (d + 9) // 24 for i in range(1, 25))})]
-        s = min(c for c in costs if c[1] > 0)[1]
-        cuts.append((d + m + s if d else 0, s, m))
-    return np.array(low), cuts
-
-
-def _signatures(h: np.ndarray, p: int, q: int) -> np.ndarray:
-    """Fragment hashes of a sorted set, m - 1 in the last three bits; none if only an equal set can be similar."""
-    n = len(h)
-    low, cuts = intervals(p, q, 1 << max(20, (2 * n * q // p).bit_length()))
-    first = int(np.searchsorted(low, n, "right")) - 1
-    last = int(np.searchsorted(low, n * q // p, "right")) - 1
-    out = []
-    for k in range(first, last + 1):
-        parts, spare, least = cuts[k]
-        if not parts:
-            continue
-        seed, x = 0, h
-        while True:
-            at = ((x >> T.U64(32)) * T.U64(parts)) >> T.U64(32)
-            start = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-            total = np.add.reduceat(T.mix(x * _ODD), start)
-            tag = at[start] + T.U64((k << 40) + (seed << 32))
-            out.append((T.mix(total ^ T.mix(tag)) >> T.U64(16) << T.U64(3)) + T.U64(least - 1))
-            if parts - len(start) <= spare:
-                break
-            seed += 1
-            x = np.sort(T.mix(h + T.mix(np.array([seed], T.U64))))
-    return np.concatenate(out) if out else np.zeros(0, T.U64)
-
-
 def _set_id(h: np.ndarray) -> int:
     """Identity of a set: equal sets, and only they, have it."""
     with np.errstate(over="ignore"):
@@ -132,82 +78,58 @@ def _possible(p: int, q: int):
     return run
 
 
-def _describe(words: int):
-    """(key, n, cls, parity) of each row."""
+def _first(h: np.ndarray, p: int, q: int) -> np.ndarray:
+    """The first fragment of a sorted set."""
+    return h[: len(h) * (q - p) // q + max(1, len(h) // SPARE)]
+
+
+def _describe(words: int, p: int, q: int):
+    """(key, n, cls, parity, text_id, grams) of each row; grams are those of the first fragment, null where a task has met the set before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = set()
         for batch in batches:
-            for row, data, offsets in T.chunks(batch.column(1)):
+            for row, data, offsets in T.chunks(batch.column(2)):
                 sets = T.shingle_sets(data, offsets, words)
+                ids = [_set_id(s) for s in sets]
+                first, maps = [], []
+                for c, s in zip(ids, sets, strict=True):
+                    new = c not in met and len(s) > 0
+                    met.add(c)
+                    first.append(_first(s, p, q).view(np.int64) if new else None)
+                    maps.append(_parity(s) if new else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([_set_id(s) for s in sets], pa.int64()),
-                        pa.array([_parity(s) for s in sets], pa.binary()),
+                        pa.array(ids, pa.int64()),
+                        pa.array(maps, pa.binary()),
+                        batch.column(1).slice(row, len(sets)),
+                        pa.array(first, pa.list_(pa.int64())),
                     ],
-                    ["key", "n", "cls", "parity"],
+                    ["key", "n", "cls", "parity", "text_id", "grams"],
                 )
 
     return run
 
 
-def _fragments(words: int, p: int, q: int):
-    """(cls, sigs) of each distinct set of a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, offsets in T.chunks(batch.column(0)):
-                own = {_set_id(s): s for s in T.shingle_sets(data, offsets, words) if len(s)}
-                found = [_signatures(s, p, q).view(np.int64) for s in own.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), T.lists(found)], ["cls", "sigs"])
-
-    return run
-
-
-def _marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values & (BITMAP_BITS - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def _sets(words: int, bits, centres):
-    """(cls, f, part, central) of each distinct set of a batch whose bit is set, fragment by fragment."""
+def _sets(words: int):
+    """(cls, f, part) of each set, fragment by fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in T.chunks(batch.column(0)):
-                own = {_set_id(s): s for s in T.shingle_sets(data, offsets, words) if len(s)}
-                ids = np.array(list(own), np.int64)
-                keep, central = _marked(bits.value, ids), _marked(centres.value, ids)
-                cls, frag, part, middle = [], [], [], []
-                for c, k, m in zip(ids.tolist(), keep.tolist(), central.tolist(), strict=True):
-                    if k:
-                        cuts = np.searchsorted(own[c], np.arange(1, FRAGMENTS, dtype=T.U64) << T.U64(61))
-                        part += np.split(own[c], cuts)
-                        cls += [c] * FRAGMENTS
-                        frag += range(FRAGMENTS)
-                        middle += [m] * FRAGMENTS
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls, pa.int64()), pa.array(frag, pa.int32()), T.lists(part), pa.array(middle, pa.bool_())], ["cls", "f", "part", "central"]
-                )
+                sets = T.shingle_sets(data, offsets, words)
+                part = []
+                for s in sets:
+                    part += np.split(s, np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=T.U64) << T.U64(61)))
+                ids = np.repeat(np.array([_set_id(s) for s in sets], np.int64), FRAGMENTS)
+                frag = np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(sets))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(frag), T.lists(part)], ["cls", "f", "part"])
 
     return run
 
 
-def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
-    """Bit (value mod BITMAP_BITS) is set for each value: at most BITMAP_BITS / 32 rows reach the driver."""
-    at = F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1))
-    words = (
-        rows.select(F.shiftright(at, 5).cast("int").alias("word"), at.bitwiseAND(F.lit(31)).cast("int").alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-        .toArrow()
-    )
-    out = np.zeros(BITMAP_BITS // 32, np.uint32)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return out.view(np.uint8)
-
-
 def set_links(
     docs: DataFrame, words: int, p: int, q: int, key: str = "doc_id", text: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
@@ -217,45 +139,49 @@ def set_links(
     rows (u, v) between identities whose sets have similarity p/q or more. Every such pair is
     connected by a path of links (two sets that are linked to one centre aren't linked again).
     """
-    spark = docs.sparkSession
-    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("text_id", F.xxhash64("text"))
     kind = source.schema["key"].dataType.simpleString()
-    described = written(source.mapInArrow(_describe(words), f"key {kind}, n bigint, cls bigint, parity binary"), "sets")
-    texts = source.select("text")
-    # fragment hashes that two rows have; a hot one is counted before the shuffle
-    grams = texts.mapInArrow(_fragments(words, p, q), "cls bigint, sigs array<bigint>").select(F.explode("sigs").alias("sig"), "cls")
-    shared = grams.groupBy("sig").count().filter("count > 1").select("sig")
-    # a set that shares fewer fragments than similar sets do has no partner
-    members = written(grams.join(shared, "sig").select("sig", "cls").distinct(), "members")
-    least = F.col("sig").bitwiseAND(F.lit(7)).alias("least")
-    alone = checkpoint(members.groupBy("cls", least).count().filter("count <= least").select("cls", "least"))
-    members = written(members.select("*", least).join(alone, ["cls", "least"], "left_anti").select("sig", "cls"), "sharing")
-    company = members.groupBy("sig").agg(F.count("*").alias("company")).filter("company > 1")
-    members = members.join(company, "sig")
-    weight = members.groupBy("cls").agg(F.sum("company").alias("weight"))
-    centres = members.join(weight, "cls").groupBy("sig").agg(F.max(F.struct("weight", "cls")).alias("top")).select("sig", F.col("top.cls").alias("c"))
-    groups = written(members.join(centres, "sig").filter("c <> cls").select("sig", "c", F.col("cls").alias("x"), "company"), "groups")
-    # each centre against its members, by their parity maps first
-    classes = groups.select(F.col("c").alias("cls")).union(groups.select(F.col("x").alias("cls"))).distinct()
-    maps = written(described.join(classes, "cls").groupBy("cls").agg(F.min(F.struct("n", "parity")).alias("m")).select("cls", "m.*"), "maps")
+    described = written(
+        source.select("key", "text_id", "text").mapInArrow(
+            _describe(words, p, q), f"key {kind}, n bigint, cls bigint, parity binary, text_id bigint, grams array<bigint>"
+        ),
+        "sets",
+    )
+    first = described.filter("grams is not null")
+    grams = first.select("cls", "n", F.explode("grams").alias("g"))
+    # n-grams that the first fragments of two sets have; a hot one is counted before the shuffle
+    shared = grams.groupBy("g").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("g")
+    # a set that shares fewer than similar sets do has no partner
+    least = f"greatest(1, ((n * {p} + {q - 1}) div {q}) div {SPARE})"
+    sharing = grams.join(shared, "g").groupBy("cls", "n").agg(F.collect_set("g").alias("grams")).filter(f"size(grams) >= {least}")
+    about = first.groupBy("cls").agg(F.min(F.struct("text_id", "parity")).alias("about"))
+    members = written(sharing.join(about, "cls").select("cls", "n", "grams", "about.*"), "members")
+    # each n-gram's centre: the set that shares most of its own
+    held = members.select("cls", F.explode("grams").alias("g"), F.expr(f"size(grams) * 1000000 div (n * {q - p} div {q} + greatest(1, n div {SPARE}))").alias("weight"))
+    centres = held.groupBy("g").agg(F.count("*").alias("company"), F.max(F.struct("weight", "cls")).alias("top")).filter("company > 1")
+    groups = written(
+        held.join(centres, "g").select("g", F.col("top.cls").alias("c"), F.col("cls").alias("x"), "company").filter("c <> x"), "groups"
+    )
+    maps = members.select("cls", "n", "parity")
 
     def possible(pairs: DataFrame) -> DataFrame:
-        sided = pairs.join(maps.toDF("u", "un", "umap"), "u").join(maps.toDF("v", "vn", "vmap"), "v")
+        """Pairs (u, v) with their sizes, and whether their parity maps let them be similar."""
+        sided = pairs.join(maps.toDF("v", "vn", "vmap"), "v").join(maps.toDF("u", "un", "umap"), "u")
         return sided.select("u", "un", "v", "vn", "umap", "vmap").mapInArrow(_possible(p, q), "u bigint, un bigint, v bigint, vn bigint, near boolean")
 
-    stars = checkpoint(possible(groups.select(F.col("c").alias("u"), F.col("x").alias("v")).distinct()).toDF("c", "cn", "x", "xn", "near"))
+    stars = written(possible(groups.select(F.col("c").alias("u"), F.col("x").alias("v")).distinct()).toDF("c", "cn", "x", "xn", "near"), "stars")
     close = stars.filter("near")
     many = groups.filter("company > 2")
     # sets that may be counted: those near a centre, and those of larger groups that have a member far from theirs
-    wide = many.join(stars.filter("not near").select("c", "x"), ["c", "x"]).select("sig").distinct()
-    wide = many.join(wide, "sig", "left_semi").select("c", "x")
+    wide = many.join(stars.filter("not near").select("c", "x"), ["c", "x"]).select("g").distinct()
+    wide = many.join(wide, "g", "left_semi").select("c", "x")
     used = close.select("c", "x").union(wide).union(many.join(close.select("c", "x"), ["c", "x"], "left_semi").select("c", "x"))
-    bits = _bitmap(used.select(F.col("c").alias("cls")).union(used.select(F.col("x").alias("cls"))), "cls")
-    bits, central = (spark.sparkContext.broadcast(b) for b in (bits, _bitmap(used.select("c"), "c")))
-    parts = written(
-        texts.mapInArrow(_sets(words, bits, central), "cls bigint, f int, part array<bigint>, central boolean").dropDuplicates(["cls", "f"]), "parts"
-    )
-    left = parts.filter("central").select(F.col("cls").alias("c"), "f", F.col("part").alias("cp"))
+    used = used.select(F.explode(F.array("c", "x")).alias("cls")).distinct()
+    wanted = checkpoint(members.select("cls", "text_id").join(used, "cls", "left_semi").select("text_id").distinct())
+    # the texts of these sets alone are cut into words again
+    texts = source.select("text_id", "text").join(maybe_broadcast(wanted), "text_id", "left_semi").dropDuplicates(["text_id"]).select("text")
+    parts = written(texts.mapInArrow(_sets(words), "cls bigint, f int, part array<bigint>"), "parts")
+    left = parts.select(F.col("cls").alias("c"), "f", F.col("part").alias("cp"))
     right = parts.select(F.col("cls").alias("x"), "f", F.col("part").alias("xp"))
 
     def apart(pairs: DataFrame) -> DataFrame:
@@ -272,19 +198,19 @@ def set_links(
         .withColumn("near", F.lit(True))
     )
     # members that are not linked to a centre, against its other members in the groups that they share
-    told = many.join(compared, ["c", "x"], "left").select("sig", "c", "x", F.coalesce("near", F.lit(False)).alias("near"))
-    unsure = told.filter("not near").select("sig").distinct()
-    again = told.join(unsure, "sig", "left_semi")
+    told = many.join(compared, ["c", "x"], "left").select("g", "c", "x", F.coalesce("near", F.lit(False)).alias("near"))
+    unsure = told.filter("not near").select("g").distinct()
+    again = told.join(unsure, "g", "left_semi")
     # two such members share so many of these groups
-    enough = again.groupBy("x", least).count().filter("count > least").select("x").distinct()
+    enough = again.groupBy("x").count().join(members.select(F.col("cls").alias("x"), "n"), "x").filter(f"count >= {least}").select("x")
     again = again.select("c", "x", "near").distinct().join(enough, "x", "left_semi")
-    delta = written(apart(again.join(stars.select("c", "x", "xn"), ["c", "x"])), "differences")
-    grams = delta.select("c", "x", "xn", "near", F.explode("diff").alias("g"))
-    df = grams.groupBy("c", "g").agg(F.count("*").alias("df")).filter("df > 1")
+    again = again.join(stars.select("c", "x", "xn"), ["c", "x"])
+    delta = written(apart(again).select("c", "x", "xn", "near", F.explode("diff").alias("g")), "differences")
+    df = delta.groupBy("c", "g").agg(F.count("*").alias("df")).filter("df > 1")
     allowed = F.expr(f"(xn + floor(xn * {q} / {p})) * {q - p} div {p + q}")
     ranked = (
         # a gram in one difference only takes a place in the prefix but joins with nothing
-        grams.join(df, ["c", "g"], "left")
+        delta.join(df, ["c", "g"], "left")
         .withColumn("df", F.coalesce("df", F.lit(1)))
         .groupBy("c", "x", "xn", "near")
         .agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("all"))
@@ -304,7 +230,7 @@ def set_links(
         .select(F.col("x").alias("u"), F.col("y").alias("v"))
         .distinct()
     )
-    pairs = checkpoint(possible(pairs).filter("near").select("u", "un", "v", "vn"))
+    pairs = possible(pairs).filter("near").select("u", "un", "v", "vn")
     one = parts.select(F.col("cls").alias("u"), "f", F.col("part").alias("up"))
     two = parts.select(F.col("cls").alias("v"), "f", F.col("part").alias("vp"))
     found = (
