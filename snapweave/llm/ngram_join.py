@@ -6,15 +6,18 @@ The global order of n-grams is the order of their 64-bit hashes, and sets are cu
   similarity p/q or more with it. Its first fragment is its first e + m n-grams, m = n div SPARE. Of
   two similar sets the first fragments share m n-grams at least (m of the smaller set): the m-th
   common n-gram has fewer than m common and at most e other n-grams before it. So the n-grams of
-  first fragments are counted once, and a set that shares fewer than m of its own with any others,
-  as documents with a common passage do, leaves before anything is compared.
+  first fragments are counted once, and a set that shares fewer than m of its own with any others
+  leaves before anything is compared. For the sets that stay all n-grams are counted; a set of which
+  fewer than n - e are in others leaves too, as documents with a common passage do. From then on the
+  global order is that of these counts, least frequent n-grams first (ties by hash), and similar
+  sets share one of their first e + 1 n-grams.
 * Counting. For a pair to be verified the overlap is counted in each of FRAGMENTS coarse fragments
   separately, and summed per pair. Before that, each set has a parity map of about a bit an n-gram:
   two maps differ in no more bits than the sets in n-grams, so a pair whose maps differ in too many
   bits isn't similar and is not counted.
 
 Groups that share an n-gram are never expanded into pairs. Each group elects as its centre the set
-that has most of its first fragment in common with others, and each member is compared with the
+that has most of its n-grams in common with others, and each member is compared with the
 centre. Two members x and y of a group of three or more that aren't both linked to the centre c can
 still be similar; |x ^ y| = |(x ^ c) ^ (y ^ c)|, so they are found by a prefix and position filter
 over their differences from the centre, least frequent n-grams first, which are short and hardly
@@ -35,9 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapweave.llm import _text as T
-from snapweave.llm._tables import checkpoint, components, maybe_broadcast, written
+from snapweave.llm._tables import BROADCAST_ROWS, checkpoint, components, maybe_broadcast, written
 
-#: One n-gram of SPARE is added to the first fragment, and has to be shared there.
+#: One n-gram of SPARE is added to the first fragment in hash order, and has to be shared there.
 SPARE = 10
 #: Coarse fragments in which overlaps are counted.
 FRAGMENTS = 8
@@ -152,12 +155,28 @@ def set_links(
     # n-grams that the first fragments of two sets have; a hot one is counted before the shuffle
     shared = grams.groupBy("g").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("g")
     # a set that shares fewer than similar sets do has no partner
-    least = f"greatest(1, ((n * {p} + {q - 1}) div {q}) div {SPARE})"
-    sharing = grams.join(shared, "g").groupBy("cls", "n").agg(F.collect_set("g").alias("grams")).filter(f"size(grams) >= {least}")
+    sharing = (
+        grams.join(shared, "g").groupBy("cls", "n").agg(F.size(F.collect_set("g")).alias("own"))
+        .filter(f"own >= greatest(1, ((n * {p} + {q - 1}) div {q}) div {SPARE})")
+    )
     about = first.groupBy("cls").agg(F.min(F.struct("text_id", "parity")).alias("about"))
-    members = written(sharing.join(about, "cls").select("cls", "n", "grams", "about.*"), "members")
+    some = written(sharing.join(about, "cls").select("cls", "n", "about.*"), "some")
+    # the texts of these sets alone are cut into words again
+    wanted = maybe_broadcast(some.select("text_id").distinct(), some.count())
+    texts = source.select("text_id", "text").join(wanted, "text_id", "left_semi").dropDuplicates(["text_id"]).select("text")
+    parts = written(texts.mapInArrow(_sets(words), "cls bigint, f int, part array<bigint>"), "parts")
+    every = parts.select("cls", F.explode("part").alias("g"))
+    df = every.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
+    ordered = every.join(df, "g").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("all"))
+    members = written(
+        some.join(ordered, "cls")
+        .withColumn("room", F.expr(f"n * {q - p} div {q} + 1 - (n - size(all))"))
+        .filter("room > 0")
+        .select("cls", "n", "parity", F.expr("size(all) * 1000000L div n").alias("weight"), F.slice("all.g", 1, F.col("room").cast("int")).alias("grams")),
+        "members",
+    )
     # each n-gram's centre: the set that shares most of its own
-    held = members.select("cls", F.explode("grams").alias("g"), F.expr(f"size(grams) * 1000000 div (n * {q - p} div {q} + greatest(1, n div {SPARE}))").alias("weight"))
+    held = members.select("cls", "weight", F.explode("grams").alias("g"))
     centres = held.groupBy("g").agg(F.count("*").alias("company"), F.max(F.struct("weight", "cls")).alias("top")).filter("company > 1")
     groups = written(
         held.join(centres, "g").select("g", F.col("top.cls").alias("c"), F.col("cls").alias("x"), "company").filter("c <> x"), "groups"
@@ -172,15 +191,10 @@ def set_links(
     stars = written(possible(groups.select(F.col("c").alias("u"), F.col("x").alias("v")).distinct()).toDF("c", "cn", "x", "xn", "near"), "stars")
     close = stars.filter("near")
     many = groups.filter("company > 2")
-    # sets that may be counted: those near a centre, and those of larger groups that have a member far from theirs
-    wide = many.join(stars.filter("not near").select("c", "x"), ["c", "x"]).select("g").distinct()
-    wide = many.join(wide, "g", "left_semi").select("c", "x")
-    used = close.select("c", "x").union(wide).union(many.join(close.select("c", "x"), ["c", "x"], "left_semi").select("c", "x"))
-    used = used.select(F.explode(F.array("c", "x")).alias("cls")).distinct()
-    wanted = checkpoint(members.select("cls", "text_id").join(used, "cls", "left_semi").select("text_id").distinct())
-    # the texts of these sets alone are cut into words again
-    texts = source.select("text_id", "text").join(maybe_broadcast(wanted), "text_id", "left_semi").dropDuplicates(["text_id"]).select("text")
-    parts = written(texts.mapInArrow(_sets(words), "cls bigint, f int, part array<bigint>"), "parts")
+    used = checkpoint(stars.select(F.explode(F.array("c", "x")).alias("cls")).distinct())
+    number = used.count()
+    if number <= BROADCAST_ROWS:
+        parts = parts.join(maybe_broadcast(used, number), "cls", "left_semi")
     left = parts.select(F.col("cls").alias("c"), "f", F.col("part").alias("cp"))
     right = parts.select(F.col("cls").alias("x"), "f", F.col("part").alias("xp"))
 
@@ -201,9 +215,7 @@ def set_links(
     told = many.join(compared, ["c", "x"], "left").select("g", "c", "x", F.coalesce("near", F.lit(False)).alias("near"))
     unsure = told.filter("not near").select("g").distinct()
     again = told.join(unsure, "g", "left_semi")
-    # two such members share so many of these groups
-    enough = again.groupBy("x").count().join(members.select(F.col("cls").alias("x"), "n"), "x").filter(f"count >= {least}").select("x")
-    again = again.select("c", "x", "near").distinct().join(enough, "x", "left_semi")
+    again = again.select("c", "x", "near").distinct()
     again = again.join(stars.select("c", "x", "xn"), ["c", "x"])
     delta = written(apart(again).select("c", "x", "xn", "near", F.explode("diff").alias("g")), "differences")
     df = delta.groupBy("c", "g").agg(F.count("*").alias("df")).filter("df > 1")
@@ -218,16 +230,22 @@ def set_links(
         .filter("e.df > 1")
         .select("c", "x", "xn", "d", "near", "pos", F.col("e.g").alias("g"))
     )
-    ranked = written(ranked, "ranked")
+    # sets that are linked to one centre have its label: pairs of one label aren't listed
+    label = compared.groupBy("x").agg(F.min("c").alias("label"))
+    ranked = written(
+        ranked.join(label, "x", "left").withColumn("label", F.when(F.col("near"), F.col("c")).otherwise(F.coalesce("label", "x"))).drop("near"), "ranked"
+    )
+    labels = ranked.select("c", "g", "label").distinct()
+    across = labels.join(labels.withColumnRenamed("label", "other"), ["c", "g"]).filter("label < other")
     other = ranked.select(
-        "c", "g", F.col("x").alias("y"), F.col("xn").alias("yn"), F.col("d").alias("yd"),
-        F.col("near").alias("ynear"), F.col("pos").alias("ypos"),
+        "c", "g", F.col("label").alias("other"), F.col("x").alias("y"), F.col("xn").alias("yn"), F.col("d").alias("yd"), F.col("pos").alias("ypos")
     )
     room = f"(xn + yn) * {q - p} div {p + q}"
     pairs = (
-        ranked.join(other, ["c", "g"])
-        .filter(f"x < y and not (near and ynear) and pos + ypos <= {room} and abs(d - yd) <= {room}")
-        .select(F.col("x").alias("u"), F.col("y").alias("v"))
+        ranked.join(across, ["c", "g", "label"])
+        .join(other, ["c", "g", "other"])
+        .filter(f"x <> y and pos + ypos <= {room} and abs(d - yd) <= {room}")
+        .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
         .distinct()
     )
     pairs = possible(pairs).filter("near").select("u", "un", "v", "vn")
