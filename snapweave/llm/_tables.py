@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows of one or two longs that may be broadcast after they were counted; more rows are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
+#: A value is hot if it holds one in HOT_SHARE of all rows: there are at most so many.
+HOT_SHARE = 5_000
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
@@ -32,7 +35,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df computed once and cut from its lineage, in the shared folder; its files go when it is collected."""
+    """df computed once and cut from its lineage, in the shared folder.
+
+    Its files go with the frame only where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_root(df.sparkSession))
@@ -51,6 +57,20 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, on: str) -> DataFrame:
+    """rows.join(counted, on), where counted has one row per value of `on` and its number of rows, `times`.
+
+    counted should be computed already. Values that hold a HOT_SHARE-th of its rows or more, of which
+    there are at most HOT_SHARE, are broadcast, so that the rows of a hot value stay in their tasks;
+    all other values are joined by a shuffle.
+    """
+    total = counted.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    least = max(total // HOT_SHARE, 100)
+    hot = F.broadcast(counted.filter(F.col("times") >= least))
+    cold = rows.join(hot.select(on), on, "left_anti").join(counted.filter(F.col("times") < least), on)
+    return cold.unionByName(rows.join(hot, on))
+
+
 def bounded(df: DataFrame, by: list[str], most: int, total: int) -> DataFrame:
     """The `most` rows that are least by a hash of `by`.
 
@@ -64,8 +84,8 @@ def bounded(df: DataFrame, by: list[str], most: int, total: int) -> DataFrame:
 
 def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without the rows whose key is in ids (one column of that name); null keys stay."""
-    ids = checkpoint(ids.select(F.col(key).alias("_drop")).distinct())
-    return docs.join(maybe_broadcast(ids), docs[key] == F.col("_drop"), "left_anti")
+    ids = checkpoint(ids.select(F.col(key).alias(key)).distinct())
+    return docs.join(maybe_broadcast(ids), key, "left_anti").select(*docs.columns)
 
 
 def fold(key: str, n: int) -> F.Column:

@@ -61,16 +61,11 @@ SELECT doc_id, size, source_size, target,
 FROM ranked
 """
 
-_REPEATED = r"""
-numbered AS (SELECT doc_id, len(items) AS n, items FROM listed WHERE len(items) >= 3),
-runs AS (
-  SELECT doc_id, n, unnest(range(0, n - 2)) AS pos, items FROM numbered),
-hashed AS (
-  SELECT doc_id, n, pos, items[pos + 1] || chr(10) || items[pos + 2] || chr(10) || items[pos + 3] AS run FROM runs),
+_SPANS = r"""
 placed AS (
-  SELECT doc_id, n, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, pos) AS place FROM hashed WHERE {keep}),
+  SELECT doc_id, n, a, b, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, a) AS place FROM runs),
 covered AS (
-  SELECT DISTINCT doc_id, n, pos + o AS item FROM placed, unnest([0, 1, 2]) AS x(o) WHERE place > 1),
+  SELECT DISTINCT doc_id, n, unnest(range(a, b + 1)) AS item FROM placed WHERE place > 1),
 islands AS (
   SELECT doc_id, n, item, item - row_number() OVER (PARTITION BY doc_id ORDER BY item) AS island FROM covered),
 spans AS (
@@ -86,19 +81,37 @@ WITH listed AS (
   SELECT doc_id, list_transform(
            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')),
            lambda x: regexp_replace(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')) AS items
-  FROM documents),"""
-    + _REPEATED.format(keep="true", count="n_lines")
+  FROM documents),
+windows AS (
+  SELECT doc_id, len(items) AS n, items, unnest(range(0, greatest(len(items) - 2, 1))) AS a FROM listed WHERE len(items) > 0),
+lines AS (SELECT doc_id, len(items) AS n, unnest(range(0, len(items))) AS a, unnest(items) AS run FROM listed WHERE len(items) > 1),
+runs AS (
+  SELECT doc_id, n, a, least(a + 2, n - 1) AS b, array_to_string(items[a + 1 : a + 3], chr(10)) AS run FROM windows
+  UNION ALL
+  SELECT doc_id, n, a, a AS b, run FROM lines WHERE len(regexp_extract_all(run, '[^\x20\x09-\x0D]+')) >= 20),"""
+    + _SPANS.format(count="n_lines")
 )
 
 SPAN_DEDUP = (
     r"""
-WITH listed AS (
-  SELECT doc_id, list_transform(
-           list_filter(
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(x, 1) AS line, unnest(x) AS w FROM (
+    SELECT doc_id, list_transform(
              string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                         '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)),
-             lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')),
-           lambda x: array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), ' ')) AS items
-  FROM documents),"""
-    + _REPEATED.format(keep="len(regexp_extract_all(run, '[^\\x20\\x09-\\x0D]+')) >= 8", count="n_sentences")
+                                         '([.!?,;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)),
+             lambda y: regexp_extract_all(y, '[^\x20\x09-\x0D]+')) AS x
+    FROM documents)),
+cut AS (
+  SELECT doc_id, line, w, unnest(range(0, len(w), 12)) AS o FROM lines),
+sentences AS (
+  SELECT doc_id, row_number() OVER p - 1 AS item, CAST(sum(len(w[o + 1 : o + 12])) OVER p AS BIGINT) AS upto,
+         CAST(sum(len(w[o + 1 : o + 12])) OVER p - len(w[o + 1 : o + 12]) AS BIGINT) AS before,
+         count(*) OVER (PARTITION BY doc_id) AS n
+  FROM cut WINDOW p AS (PARTITION BY doc_id ORDER BY line, o)),
+every AS (
+  SELECT doc_id, flatten(list(w ORDER BY line)) AS w FROM lines GROUP BY doc_id),
+runs AS (
+  SELECT x.doc_id, x.n, x.item AS a, y.item AS b, array_to_string(w[x.before + 1 : y.upto], ' ') AS run
+  FROM sentences x ASOF JOIN sentences y ON x.doc_id = y.doc_id AND x.before + 30 <= y.upto JOIN every e ON e.doc_id = x.doc_id),"""
+    + _SPANS.format(count="n_sentences")
 )

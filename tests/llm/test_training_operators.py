@@ -118,15 +118,14 @@ def test_components_of_a_path(spark):
 # line and span dedup
 
 
-def brute_runs(lists, size, keep=lambda run: True):
+def brute_runs(lists):
+    """Items in later copies of runs; lists has (doc, [(first, last, run)])."""
     seen, out = set(), {}
-    for d, items in sorted(lists):
-        for i in range(len(items) - size + 1):
-            run = tuple(items[i : i + size])
-            if keep(run):
-                if run in seen:
-                    out.setdefault(d, set()).update(range(i, i + size))
-                seen.add(run)
+    for d, runs in sorted(lists, key=lambda x: x[0]):
+        for first, last, run in sorted(runs):
+            if run in seen:
+                out.setdefault(d, set()).update(range(first, last + 1))
+            seen.add(run)
     return out
 
 
@@ -134,26 +133,73 @@ def covered(df):
     return {r[0]: {i for s in r.spans for i in range(s.first, s.last + 1)} for r in df.collect()}
 
 
+def line_runs(text, window, long):
+    items = [x.strip(" \t\n\r\x0b\x0c") for x in (text or "").split("\n") if WORD.search(x)]
+    n = len(items)
+    runs = {(i, i + window - 1) for i in range(n - window + 1)} if n >= window else {(0, n - 1)} if n else set()
+    runs |= {(i, i) for i, x in enumerate(items) if len(WORD.findall(x)) >= long}
+    return [(a, b, tuple(items[a : b + 1])) for a, b in runs]
+
+
 def test_line_runs(spark):
     r = random.Random(7)
-    rows = [(i, "\n".join(r.choice(["a", "b b", " c", "d\t", "", "e"]) for _ in range(r.randrange(14)))) for i in range(60)]
+    choice = ["a", "b b", " c", "d\t", "", "e", "f f f f f", "g g g g g g"]
+    rows = [(i, "\n".join(r.choice(choice) for _ in range(r.choice([1, 2, 3, 5, 9, 13])))) for i in range(60)]
     rows += [(100, None), (101, "a\n" * 50), (102, "z" * 200_000)]
-    lists = [(d, [" ".join(x.split(" ")).strip(" \t\n\r\x0b\x0c") for x in (t or "").split("\n") if WORD.search(x)]) for d, t in rows]
     for window in (2, 3, 4):
-        assert covered(line_dedup.repeated_lines(table(spark, rows), window)) == brute_runs(lists, window)
+        want = brute_runs([(d, line_runs(t, window, 5)) for d, t in rows])
+        assert covered(line_dedup.repeated_lines(table(spark, rows), window, 5)) == want and want
+
+
+def test_a_long_line_and_short_copies_are_deleted(spark):
+    r = random.Random(4)
+    line = " ".join(f"w{r.randrange(500)}" for _ in range(60))
+    rows = [(1, f"x\n{line}\ny"), (2, f"one\ntwo\nthree\n{line}\nfour"), (3, line), (4, "a\nb"), (5, "a\nb"), (6, "b"), (7, None)]
+    assert covered(line_dedup.repeated_lines(table(spark, rows))) == {2: {3}, 3: {0}, 5: {0, 1}}
+
+
+def sentence_runs(text, longest, least):
+    items = []
+    for x in re.sub(r"([.!?,;:])[\x20\x09-\x0D]+", r"\1\n", (text or "").translate(LOWER)).split("\n"):
+        w = WORD.findall(x)
+        items += [w[i : i + longest] for i in range(0, len(w), longest)]
+    out = []
+    for i in range(len(items)):
+        held = []
+        for j in range(i, len(items)):
+            held += items[j]
+            if len(held) >= least:
+                out.append((i, j, tuple(held)))
+                break
+    return out
 
 
 def test_sentence_runs(spark):
     r = random.Random(8)
-    rows = [(i, "".join(r.choice(["A b c d. ", "e f g h!\n", "i j k l", "\n", "M n? o p q. ", " r. "]) for _ in range(r.randrange(16)))) for i in range(60)] + [(90, None), (91, "")]
+    choice = ["A b c d. ", "e f, g h!\n", "i j k l", "\n", "M n? o p q. ", " r. ", " s t u v w x y z "]
+    rows = [(i, "".join(r.choice(choice) for _ in range(r.randrange(16)))) for i in range(60)] + [(90, None), (91, "")]
+    for longest, least in ((5, 8), (12, 13), (3, 4)):
+        want = brute_runs([(d, sentence_runs(t, longest, least)) for d, t in rows])
+        assert covered(span_dedup.repeated_spans(table(spark, rows), longest, least)) == want and want
 
-    def split(t):
-        marked = re.sub(r"([.!?])[\x20\x09-\x0D]+", r"\1\n", (t or "").translate(LOWER))
-        return [" ".join(WORD.findall(x)) for x in marked.split("\n") if WORD.search(x)]
 
-    lists = [(d, split(t)) for d, t in rows]
-    want = brute_runs(lists, 3, lambda run: len(WORD.findall(" ".join(run))) >= 8)
-    assert covered(span_dedup.repeated_spans(table(spark, rows))) == want and want
+def test_planted_passages_are_found_and_others_stay(spark):
+    r = random.Random(11)
+
+    def prose(n):
+        out = []
+        while len(out) < n:
+            out += ["".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 25))]
+            out[-1] += r.choice([".", ".", "!", ",", ";", ".\n"])
+        return " ".join(out[:n])
+
+    passages = [prose(r.randrange(52, 90)) for _ in range(20)]
+    # a passage starts in the middle of a sentence, and the text goes on in its last one
+    rows = [(i, f"{prose(r.randrange(20, 200))} {passages[i % 20]} {prose(r.randrange(20, 200))}") for i in range(80)]
+    rows += [(100 + i, prose(200)) for i in range(80)]
+    found = set(covered(span_dedup.repeated_spans(table(spark, rows))))
+    assert len(found & set(range(20, 80))) >= 0.9 * 60
+    assert not found - set(range(20, 80))
 
 
 # decontamination
