@@ -93,6 +93,14 @@ def fold(key: str, n: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % n, F.lit(0)).cast("int")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

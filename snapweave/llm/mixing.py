@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapweave.llm._tables import checkpoint, maybe_broadcast
+from snapweave.llm._tables import checkpoint, maybe_broadcast, unused
 
 #: Words, as all operators count them.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -165,12 +165,13 @@ def mixed_documents(
     Documents never move between partitions: only the cut of each source is joined to them.
     """
     _, per = plan(docs, weights, share, max_epochs, seed, key, text, source)
-    few = maybe_broadcast(per.select(F.struct("source", "whole", "cut", F.expr("2 * part >= part_of").alias("half")).alias("_mix")))
-    h = order(key, seed)
-    once = F.coalesce((h < F.col("_mix.cut")) | ((h == F.col("_mix.cut")) & F.col("_mix.half")), F.lit(False))
-    times = (F.col("_mix.whole") + once.cast("long")).cast("int")
+    mix_, copy = unused(docs, "mix"), unused(docs, "copy")
+    few = maybe_broadcast(per.select(F.struct("source", "whole", "cut", F.expr("2 * part >= part_of").alias("half")).alias(mix_)))
+    own, h = F.col(mix_), order(key, seed)
+    once = F.coalesce((h < own["cut"]) | ((h == own["cut"]) & own["half"]), F.lit(False))
+    times = (own["whole"] + once.cast("long")).cast("int")
     return (
-        docs.join(few, docs[source].eqNullSafe(F.col("_mix.source")))
-        .select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("_copy"))
-        .drop("_copy")
+        docs.join(few, F.col(source).eqNullSafe(own["source"]))
+        .select(*docs.columns, F.explode(F.array_repeat(F.lit(0), times)).alias(copy))
+        .select(*docs.columns)
     )

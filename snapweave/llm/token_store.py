@@ -18,9 +18,9 @@ The files are a Parquet dataset, one row a segment: `part` and `segment`; its ta
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from snapweave.llm import _text as T
 from snapweave.llm._tables import maybe_broadcast
 
 SEGMENT, BLOCK, LANES = 1 << 21, 1 << 15, 64
@@ -35,81 +36,152 @@ _SCALE = 20
 _LOW = np.uint64(1 << 31)
 _U = np.uint64
 
-#: Letters whose lower case is one letter and that no normalisation changes, then ASCII punctuation
-#: that begins no contraction: such a word's ids are those of its letters and those of its tail.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
-#: Words and pieces whose ids a worker remembers in one generation; it keeps two.
-_WORDS, _PIECES = 250_000, 250_000
+#: Pieces whose ids a worker remembers; beyond that those that were used once are forgotten.
+_PIECES = 600_000
+_OTHER, _TAIL = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
+
+
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By byte, and by the byte after 0xC3: letters whose lower case is one letter and that no
+    normalisation changes; and ASCII punctuation that begins no contraction."""
+    ascii_letter, latin, tail = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+    for c in range(33, 127):
+        (ascii_letter if chr(c).isalpha() else tail)[c] = True
+    tail[ord("'")] = False
+    tail[ord("0") : ord("9") + 1] = False
+    latin[0x80:0xC0] = True
+    latin[[0x97, 0xB7]] = False
+    return ascii_letter, latin, tail
+
+
+_LETTER, _LATIN, _PUNCTUATION = _classes()
 
 
 class Encoder:
-    """Ids of whole texts, by words that are encoded once and remembered.
+    """Ids of whole texts, by pieces that are encoded once and remembered.
 
     Text between ASCII white space is encoded on its own: the tokenizer drops white space before it
-    splits, and none of its patterns crosses it.
+    splits, and none of its patterns crosses it. A word of letters and then punctuation is two pieces,
+    which the tokenizer splits too; letters are looked up in lower case. Any other word is one piece.
+    Pieces are cut, hashed and put together in numpy, a chunk of texts at once. Where a tokenizer
+    splits a sample of words otherwise, every word is one piece.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, pieces: int = _PIECES):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.most = pieces
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
-        # what was remembered before: what is used again moves up, the rest is forgotten
-        self.old_words: dict[bytes, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _letters(self, pieces: list[str]) -> None:
-        """Letter runs, many to a call: each is one word of the tokenizer."""
-        for a in range(0, len(pieces), 2048):
-            some = pieces[a : a + 2048]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, at = np.array(e.ids, self.dtype), np.array(e.word_ids)
-            cuts = np.flatnonzero(np.diff(at)) + 1
-            if len(cuts) + 1 == len(some):
-                raw, width = ids.tobytes(), self.dtype.itemsize
-                edges = [0, *(cuts * width).tolist(), len(raw)]
-                self.pieces.update(zip(some, (raw[x:y] for x, y in zip(edges, edges[1:], strict=False)), strict=True))
-            else:
-                self.pieces.update(zip(some, self._each(some), strict=True))
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.pieces) > _PIECES:
-            self.pieces, self.old_pieces = {"": b""}, self.pieces
-        simple, other, letters, tails = [], [], set(), set()
-        for w in new:
-            if m := _SIMPLE.match(s := w.decode()):
-                simple.append((w, x := m[1].lower(), t := m[2]))
-                letters.add(x)
-                tails.add(t)
-            else:
-                other.append((w, s))
-        letters = [x for x in letters if x not in self.pieces]
-        self.pieces.update((x, self.old_pieces[x]) for x in letters if x in self.old_pieces)
-        self._letters([x for x in letters if x not in self.old_pieces])
-        tails = [t for t in tails if t not in self.pieces]
-        self.pieces.update(zip(tails, self._each(tails), strict=True))
-        self.words.update((w, self.pieces[x] + self.pieces[t]) for w, x, t in simple)
-        self.words.update(zip((w for w, _ in other), self._each([s for _, s in other]), strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        lists = [t.split() for t in texts]  # bytes split at ASCII white space only
-        if len(self.words) > _WORDS:
-            self.words, self.old_words = {}, self.words
-        new = [w for w in set().union(*lists) if w not in self.words]
-        self.words.update((w, self.old_words[w]) for w in new if w in self.old_words)
-        new = [w for w in new if w not in self.old_words]
-        if new:
-            self._learn(new)
-        get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, w)), self.dtype) for w in lists]
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
+        self.mapped = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
+        self._forget()
+        self.split = True
+        sample = ["The", "ÉCOLE", "straße", "Ölung", "unbelievableness", "x", "ÿÿ"]
+        tails = ["", ".", "!?", "),", "-(", '"', "$%&", "..."]
+        words = [w + t for w in sample for t in tails]
+        whole = self._each(words)
+        parts = [self._letters([w])[0] + self._each([t])[0] for w in (x.lower() for x in sample) for t in tails]
+        self.split = whole == parts
+
+    def _forget(self) -> None:
+        """Starts again with the pieces that were used more than once, the most used half at most."""
+        keep = np.zeros(0, np.int64)
+        if getattr(self, "count", 0):
+            often = np.flatnonzero(self.uses[: self.count] > 1)
+            keep = often[np.argsort(-self.uses[often], kind="stable")[: self.most // 2]]
+        ids = [self.pool[self.at[k] : self.at[k] + self.size[k]].tolist() for k in keep]
+        known = self.hashes[keep] if len(keep) else np.zeros(0, _U)
+        room = self.most + 1
+        self.place: dict[int, int] = {}
+        self.hashes, self.at, self.size, self.uses = np.zeros(room, _U), np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(room, np.int64)
+        self.pool, self.used, self.count = np.zeros(1 << 16, self.dtype), 0, 0
+        self._remember(known, ids)
+
+    def _remember(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        if not len(hashes):
+            return
+        n, end = len(ids), self.count + len(ids)
+        if end > len(self.size):
+            more = end + end // 2 - len(self.size)
+            self.hashes, self.at, self.size, self.uses = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.hashes, self.at, self.size, self.uses))
+        sizes = np.array([len(x) for x in ids], np.int64)
+        total = int(sizes.sum())
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), self.dtype)])
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), self.dtype, total)
+        self.at[self.count : end] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.count : end], self.hashes[self.count : end] = sizes, hashes
+        self.place.update(zip(hashes.tolist(), range(self.count, end), strict=True))
+        self.used, self.count = self.used + total, self.count + n
+
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _letters(self, runs: list[str]) -> list[list[int]]:
+        """Ids of runs of lower-case letters, each one word of the tokenizer's model."""
+        cut = self.tokenizer.model.tokenize
+        return [[t.id for t in cut(x if x.isascii() else x.translate(self.mapped))] for x in runs]
+
+    def _known(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray, learn) -> np.ndarray:
+        """Places of pieces; those of new ones after they are learned."""
+        if not len(hashes):
+            return np.zeros(0, np.int64)
+        some, first, back, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        get = self.place.get
+        place = np.array([get(h, -1) for h in some.tolist()], np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            raw = data.tobytes()
+            spans = zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)
+            place[new] = self.count + np.arange(len(new))
+            self._remember(some[new], learn([raw[a:b].decode() for a, b in spans]))
+        self.uses[place] += times
+        return place[back]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) of a chunk of texts, each with end_id after it."""
+        if self.count > self.most:
+            self._forget()
+        words = T.word_spans(data, offsets)
+        start, end = words.start, words.end
+        n, docs = len(start), len(offsets) - 1
+        lower = data
+        middle = start
+        simple = np.zeros(n, bool)
+        if self.split and n:
+            after = np.zeros(len(data), bool)
+            after[1:] = (data[:-1] == 0xC3) & _LATIN[data[1:]]
+            letter = _LETTER[data] | after
+            letter[:-1] |= after[1:]
+            lower = T.lower(data)
+            lower = np.where(after & (data < 0x9F), data + np.uint8(32), lower)
+            sums = np.concatenate([[0], np.cumsum(letter)])
+            tails = np.concatenate([[0], np.cumsum(_PUNCTUATION[data])])
+            held = sums[end] - sums[start]
+            middle = start + held
+            simple = (held > 0) & (sums[middle] - sums[start] == held) & (held + tails[end] - tails[start] == end - start)
+        # each word's two places, and one at the end of each text
+        slots = np.full(2 * n + docs, -1, np.int64)
+        own = 2 * np.arange(n) + words.row
+        at = np.flatnonzero(simple)
+        pre = T.prefix(lower)
+        slots[own[at]] = self._known(T.hash_spans(pre, start[at], middle[at]), start[at], middle[at], lower, self._letters)
+        at = np.flatnonzero(simple & (middle < end))
+        slots[own[at] + 1] = self._known(T.hash_spans(pre, middle[at], end[at]) ^ _TAIL, middle[at], end[at], data, self._each)
+        at = np.flatnonzero(~simple)
+        if len(at):
+            raw = T.hash_spans(T.prefix(data), start[at], end[at]) ^ _OTHER
+            slots[own[at]] = self._known(raw, start[at], end[at], data, self._each)
+        last = 2 * words.first[1:] + np.arange(docs)
+        size = np.where(slots >= 0, self.size[slots], 0)
+        size[last] = 1
+        ends = np.cumsum(size)
+        move = np.repeat(np.where(slots >= 0, self.at[slots], 0) - (ends - size), size)
+        ids = self.pool[move + np.arange(len(move))].astype(np.uint32)
+        ids[ends[last] - 1] = end_id
+        return ids, np.diff(np.concatenate([[0], ends[last]]))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -241,16 +313,15 @@ def _write(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path).encode, TaskContext.get().partitionId()
-        end = np.array([end_id])
         segment, keys, docs, held = 0, [], [], 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
-                texts = some.column(1).cast(pa.binary()).to_pylist()
-                for k, ids in zip(some.column(0).to_pylist(), encode([t or b"" for t in texts]), strict=True):
-                    keys.append(k)
-                    docs.append(np.concatenate([ids, end]).astype(np.uint32))
-                    held += len(docs[-1])
+            names = batch.column(0).to_pylist()
+            for row, data, offsets in T.chunks(batch.column(1)):
+                ids, sizes = encode(data, offsets, end_id)
+                for i, own in enumerate(np.split(ids, np.cumsum(sizes)[:-1])):
+                    keys.append(names[row + i])
+                    docs.append(own)
+                    held += len(own)
                     if held >= SEGMENT:
                         yield flush(part, segment, keys, docs, batch.schema.field(0).type)
                         segment, keys, docs, held = segment + 1, [], [], 0

@@ -298,10 +298,18 @@ def tokenizer():
 
 def test_encoder_equals_the_library(tokenizer):
     texts = ["Hello, World! don't  I'LL é É ÀB ß ſ İstanbul 12ab ²³ <|endoftext|>x a<|startoftext|>", "", "a b\x1cc d", "naïve—dash…", "x" * 5000, "日本語 テスト", "_a_ a_b #tag's"]
-    encode = token_store.Encoder(queries.tokenizer_path())
-    for _ in range(2):
-        for t, ids in zip(texts, encode.encode([t.encode() for t in texts]), strict=True):
-            assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    texts += ["THE End... (École) über-straße, ÿÿ! o'clock 'tis", "a×b ÷ Ã£ é\u0301 É\u0301x", " \n\t "]
+    for pieces in (600_000, 3):  # the second forgets after every chunk
+        encode = token_store.Encoder(queries.tokenizer_path(), pieces)
+        assert encode.split
+        for _ in range(2):
+            for own in (texts, texts[:1], texts[::-1]):
+                got = []
+                for _, data, offsets in T.chunks(pa.array(own)):
+                    ids, sizes = encode.encode(data, offsets, 1)
+                    got += np.split(ids, np.cumsum(sizes)[:-1])
+                for t, ids in zip(own, got, strict=True):
+                    assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
 
 
 def test_round_trip(spark, tokenizer):
