@@ -1,14 +1,17 @@
 """Toxicity by weak supervision.
 
-1. Lexicons. Words, and the first 4, 5 and 6 bytes of longer words, are tokens. Of the tokens of all
-   rows that may be learned from, those that toxic texts have at least exp(EVIDENCE) times as often as others are
-   dealt to LEXICONS lexicon voters.
+1. Lexicons. Words, and the first 4, 5 and 6 bytes of longer words, are tokens. Tokens of all rows that
+   may be learned from are counted; those that toxic texts have at least exp(ODDS) times as often as
+   others, with a log likelihood ratio of EVIDENCE against chance, are dealt to LEXICONS lexicon
+   voters. This choice, and the base rate of toxic rows, are all that true labels are used for.
 2. Votes. A lexicon votes toxic where a text has one of its tokens, else abstains. Pattern voters look
    at shouting, exclamation marks, masked letters, stretched words and short lines of insults; one voter
-   votes clean where no lexicon fires. No voter sees a label.
-3. Label model. Expectation maximisation estimates how each voter votes on toxic and on clean texts.
-   The correlations of voters given the class are estimated from the posteriors, and a voter counts
-   the less the more others repeat it; both are iterated.
+   votes clean where no lexicon fires.
+3. Label model, generative: a class is drawn by the base rate, then each voter votes by the class and
+   by the vote of the voter that it depends on most. Expectation maximisation estimates these tables,
+   the voters' accuracies and correlations, without labels; the dependencies are the tree of greatest
+   mutual information given the class, under the posteriors, without edges that chance explains, and
+   both are iterated. A voter that only repeats another adds nothing to the posterior.
 4. Classifier. A logistic regression on token presence and pattern strengths is trained on the
    posterior labels of the sample, and scores every whole text: a sum over the tokens that it has.
 
@@ -31,7 +34,7 @@ from snapweave.llm._tables import bounded, checkpoint, fold, maybe_broadcast
 from snapweave.llm.decontamination import normal
 
 MOST = 10_000
-TOKENS, LEXICONS, EVIDENCE, LEAST = 600, 16, 3.0, 3
+TOKENS, LEXICONS, ODDS, EVIDENCE = 600, 16, 3.0, 6.0
 #: Rows of a token that the sample holds at least, about, or all if there are fewer.
 EACH = 10
 PREFIXES = (4, 5, 6)
@@ -148,44 +151,73 @@ def votes(hits: np.ndarray, patterns: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """Accuracies of voters by class, and weights from their correlations given the class."""
+    """P(vote | class, vote of the parent) of each voter, for the tree of parents that the votes suggest.
+
+    parent[j] is the voter on which j depends, or -1; table[y, j, s] is the share of vote s - 1 among the
+    votes of j on class y, and pair[y, j, r, s] that among rows where the parent votes r - 1.
+    """
 
     def __init__(self, v: np.ndarray, rate: float, rounds: int = 4, steps: int = 15):
         self.rate = float(np.clip(rate, 0.01, 0.99))
-        self.weight = np.ones(v.shape[1])
+        n, k = v.shape
+        self.votes = np.stack([v == s for s in (-1, 0, 1)], axis=2).astype(float)
+        self.parent = np.full(k, -1)
         # at first voters are believed: a posterior from their sum
         q = 1 / (1 + np.exp(-2.0 * v.sum(1) - np.log(self.rate / (1 - self.rate)) * 0.5))
         for _ in range(rounds):
             for _ in range(steps):
-                self.table = np.stack([self._share(v, 1 - q), self._share(v, q)])
+                self._fit(q)
                 q = self.posterior(v)
-            self.weight = 1 / (1 + np.maximum(self.correlations(v, q), 0).sum(1))
-        self.table = np.stack([self._share(v, 1 - q), self._share(v, q)])
-
-    @staticmethod
-    def _share(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Smoothed shares of the votes -1, 0 and 1 of each voter, weighted by q."""
-        c = np.stack([((v == s) * q[:, None]).sum(0) for s in (-1, 0, 1)], axis=1) + 0.5
-        return c / c.sum(1, keepdims=True)
+            parent = self._tree(q)
+            if (parent == self.parent).all():
+                break
+            self.parent = parent
+        self._fit(q)
+        del self.votes
+
+    def _fit(self, q: np.ndarray) -> None:
+        """Smoothed tables from posteriors; a parent's rare votes borrow from all votes."""
+        k = len(self.parent)
+        flat = self.votes.reshape(len(q), -1)
+        self.table, self.pair = np.zeros((2, k, 3)), np.zeros((2, k, 3, 3))
+        for y, w in enumerate((1 - q, q)):
+            c = (flat * w[:, None]).sum(0).reshape(k, 3) + 0.5
+            self.table[y] = c / c.sum(1, keepdims=True)
+            both = (flat.T @ (flat * w[:, None])).reshape(k, 3, k, 3)
+            for j, i in enumerate(self.parent):
+                c = (both[i, :, j] if i >= 0 else np.zeros((3, 3))) + 2 * self.table[y, j]
+                self.pair[y, j] = c / c.sum(1, keepdims=True)
+
+    def _tree(self, q: np.ndarray) -> np.ndarray:
+        """Parents in the tree of greatest mutual information given the class."""
+        n, k, _ = self.votes.shape
+        flat, info = self.votes.reshape(n, -1), np.zeros((k, k))
+        for w in (1 - q, q):
+            joint = ((flat * w[:, None]).T @ flat).reshape(k, 3, k, 3).transpose(0, 2, 1, 3) / n
+            share = max(w.sum() / n, 1e-12)
+            single = np.einsum("jjss->js", joint)
+            apart = single[:, None, :, None] * single[None, :, None, :] / share
+            info += np.where(joint > 1e-12, joint * np.log(np.maximum(joint, 1e-12) / np.maximum(apart, 1e-12)), 0).sum((2, 3))
+        # twice n times the information is about chi square with 8 degrees of freedom where there is none: 26 is its 0.999 quantile
+        info[2 * n * info < 26.1] = 0
+        np.fill_diagonal(info, 0)
+        parent, best, joined = np.full(k, -1), np.zeros(k), np.zeros(k, bool)
+        for _ in range(k):
+            j = int(np.argmax(np.where(joined, -1, best)))
+            joined[j] = True
+            if best[j] == 0:
+                parent[j] = -1
+            closer = ~joined & (info[j] > best)
+            parent[closer], best[closer] = j, info[j][closer]
+        return parent
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        log = np.log(self.table)
-        ratio = (log[1] - log[0])[np.arange(v.shape[1]), v.astype(np.int64) + 1]
-        f = np.log(self.rate / (1 - self.rate)) + (ratio * self.weight).sum(1)
+        at = v.astype(np.int64) + 1
+        alone = np.log(self.table[1] / self.table[0])[np.arange(v.shape[1]), at]
+        given = np.log(self.pair[1] / self.pair[0])[np.arange(v.shape[1]), at[:, self.parent], at]
+        f = np.log(self.rate / (1 - self.rate)) + np.where(self.parent >= 0, given, alone).sum(1)
         return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
 
-    @staticmethod
-    def correlations(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Mean over the classes of the correlation of votes within the class; 0 on the diagonal."""
-        out = np.zeros((v.shape[1], v.shape[1]))
-        for w in (q, 1 - q):
-            x = v - (v * w[:, None]).sum(0) / max(w.sum(), 1e-9)
-            c = (x * w[:, None]).T @ x / max(w.sum(), 1e-9)
-            sd = np.sqrt(np.maximum(np.diag(c), 1e-9))
-            out += c / np.outer(sd, sd) / 2
-        np.fill_diagonal(out, 0)
-        return out
-
 
 class Linear:
     """Logistic regression on posterior labels, by full gradients with momentum."""
@@ -251,13 +283,16 @@ def toxicity_scores(
     labelled = source.filter(F.col("key").isNotNull() & (fold("key", folds) != held_out)).join(maybe_broadcast(taught, known), "key")
     bad, total = labelled.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / (total - bad + 1.0))
+    good, rate = F.col("n") - F.col("bad"), bad / max(total, 1)
+    part = lambda x, of: F.when(x > 0, x * F.log(x / (F.col("n") * F.lit(float(of))))).otherwise(0.0)
+    ratio = part(F.col("bad"), max(rate, 1e-12)) + part(good, max(1 - rate, 1e-12))
     chosen = (
         labelled.select("text", "y").mapInArrow(_counts, "token bigint, bad bigint, n bigint")
         .groupBy("token")
         .agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-        .filter(F.col("bad") >= LEAST)
         .withColumn("odds", odds)
-        .filter(F.col("odds") >= EVIDENCE)
+        .withColumn("ratio", ratio)
+        .filter((F.col("odds") >= ODDS) & (F.col("ratio") >= EVIDENCE))
         .orderBy(F.desc(F.col("bad") * F.col("odds")), "token")
         .limit(TOKENS)
         .collect()

@@ -441,7 +441,27 @@ def test_label_model_finds_accuracies():
     v = np.stack([*v, v[0], -(np.stack(v[:3]).sum(0) == 0).astype(int)], axis=1).astype(np.int8)
     m = toxicity.LabelModel(v, 0.3)
     assert ((m.posterior(v) > 0.5) == y).mean() > 0.93
-    assert m.table[1, 0, 2] > m.table[0, 0, 2] + 0.5 and m.weight[0] < m.weight[3] + 0.5
+    assert m.table[1, 0, 2] > m.table[0, 0, 2] + 0.5
+    # the repeated voter depends on the one that it repeats, and adds nothing
+    assert m.parent[4] == 0 or m.parent[0] == 4
+    assert np.allclose(m.posterior(v), toxicity.LabelModel(v[:, [0, 1, 2, 3, 5]], 0.3).posterior(v[:, [0, 1, 2, 3, 5]]), atol=0.05)
+
+
+def test_label_model_finds_planted_correlations():
+    """Voters 1 and 3 copy their neighbour in 9 of 10 rows; the others are independent given the class."""
+    r = np.random.default_rng(7)
+    y = r.random(6000) < 0.3
+    draw = lambda: np.where(r.random(6000) < np.where(y, 0.75, 0.1), 1, 0)
+    v = np.stack([draw() for _ in range(6)], axis=1)
+    for j in (1, 3):
+        same = r.random(6000) < 0.9
+        v[same, j] = v[same, j - 1]
+    m = toxicity.LabelModel(v.astype(np.int8), 0.3)
+    edges = {tuple(sorted((j, int(i)))) for j, i in enumerate(m.parent) if i >= 0}
+    assert {(0, 1), (2, 3)} <= edges
+    # the tables are near the planted ones
+    hit = m.pair[1, 1, 2, 2] if m.parent[1] == 0 else m.pair[1, 0, 2, 2]
+    assert abs(hit - 0.975) < 0.05 and ((m.posterior(v) > 0.5) == y).mean() > 0.92
 
 
 def test_additive_model_learns_a_pair():
