@@ -115,16 +115,17 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).filter("u <> v").distinct()
     )
     labels = checkpoint(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
+    nodes = labels.count()
     for _ in range(max_rounds):
         near = (
-            both.join(labels, both.v == labels.node)
+            both.join(maybe_broadcast(labels, nodes), both.v == labels.node)
             .groupBy(F.col("u").alias("node"))
             .agg(F.min("label").alias("near"))
         )
-        step = labels.join(near, "node").select(
+        step = maybe_broadcast(labels, nodes).join(near, "node").select(
             "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        jump = maybe_broadcast(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), nodes)
         step = checkpoint(
             step.join(jump, "label", "left").select(
                 "node", "old", F.least("label", F.coalesce("far", "label")).alias("label")

@@ -42,6 +42,8 @@ from snapweave.llm._tables import BROADCAST_ROWS, checkpoint, components, maybe_
 
 #: One n-gram of SPARE is added to the first fragment in hash order, and has to be shared there.
 SPARE = 10
+#: Parity maps that may be broadcast, after their bytes were summed.
+BROADCAST_BYTES = 4 << 20
 #: Coarse fragments in which overlaps are counted.
 FRAGMENTS = 8
 _ODD = T.U64(0xA24BAED4963EE407)
@@ -162,7 +164,8 @@ def set_links(
     about = first.groupBy("cls").agg(F.min(F.struct("text_id", "parity")).alias("about"))
     some = written(sharing.join(about, "cls").select("cls", "n", "about.*"), "some")
     # the texts of these sets alone are cut into words again
-    wanted = maybe_broadcast(some.select("text_id").distinct(), some.count())
+    number = some.count()
+    wanted = maybe_broadcast(some.select("text_id").distinct(), number)
     texts = source.select("text_id", "text").join(wanted, "text_id", "left_semi").dropDuplicates(["text_id"]).select("text")
     parts = written(texts.mapInArrow(_sets(words), "cls bigint, f int, part array<bigint>"), "parts")
     every = parts.select("cls", F.explode("part").alias("g"))
@@ -182,6 +185,9 @@ def set_links(
         held.join(centres, "g").select("g", F.col("top.cls").alias("c"), F.col("cls").alias("x"), "company").filter("c <> x"), "groups"
     )
     maps = members.select("cls", "n", "parity")
+    held, size = maps.agg(F.count("*"), F.coalesce(F.sum(F.length("parity")), F.lit(0))).first()
+    if size <= BROADCAST_BYTES:
+        maps = maybe_broadcast(maps, held)
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) with their sizes, and whether their parity maps let them be similar."""
@@ -189,19 +195,18 @@ def set_links(
         return sided.select("u", "un", "v", "vn", "umap", "vmap").mapInArrow(_possible(p, q), "u bigint, un bigint, v bigint, vn bigint, near boolean")
 
     stars = written(possible(groups.select(F.col("c").alias("u"), F.col("x").alias("v")).distinct()).toDF("c", "cn", "x", "xn", "near"), "stars")
+    compares = stars.count()
     close = stars.filter("near")
     many = groups.filter("company > 2")
-    used = checkpoint(stars.select(F.explode(F.array("c", "x")).alias("cls")).distinct())
-    number = used.count()
-    if number <= BROADCAST_ROWS:
-        parts = parts.join(maybe_broadcast(used, number), "cls", "left_semi")
+    if held <= BROADCAST_ROWS:
+        parts = parts.join(maybe_broadcast(members.select("cls"), held), "cls", "left_semi")
     left = parts.select(F.col("cls").alias("c"), "f", F.col("part").alias("cp"))
     right = parts.select(F.col("cls").alias("x"), "f", F.col("part").alias("xp"))
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Fragment by fragment, the difference of x from its centre."""
         diff = F.concat(F.array_except("xp", "cp"), F.array_except("cp", "xp"))
-        return pairs.join(right, "x").join(left, ["c", "f"]).select(*pairs.columns, "f", diff.alias("diff"))
+        return maybe_broadcast(pairs, compares).join(right, "x").join(left, ["c", "f"]).select(*pairs.columns, "f", diff.alias("diff"))
 
     compared = checkpoint(
         apart(close.select("c", "cn", "x", "xn"))
@@ -212,11 +217,10 @@ def set_links(
         .withColumn("near", F.lit(True))
     )
     # members that are not linked to a centre, against its other members in the groups that they share
-    told = many.join(compared, ["c", "x"], "left").select("g", "c", "x", F.coalesce("near", F.lit(False)).alias("near"))
+    told = many.join(maybe_broadcast(compared, compares), ["c", "x"], "left").select("g", "c", "x", F.coalesce("near", F.lit(False)).alias("near"))
     unsure = told.filter("not near").select("g").distinct()
-    again = told.join(unsure, "g", "left_semi")
-    again = again.select("c", "x", "near").distinct()
-    again = again.join(stars.select("c", "x", "xn"), ["c", "x"])
+    again = told.join(maybe_broadcast(unsure, groups.count()), "g", "left_semi").select("c", "x", "near").distinct()
+    again = maybe_broadcast(stars.select("c", "x", "xn"), compares).join(again, ["c", "x"])
     delta = written(apart(again).select("c", "x", "xn", "near", F.explode("diff").alias("g")), "differences")
     df = delta.groupBy("c", "g").agg(F.count("*").alias("df")).filter("df > 1")
     allowed = F.expr(f"(xn + floor(xn * {q} / {p})) * {q - p} div {p + q}")
@@ -231,7 +235,7 @@ def set_links(
         .select("c", "x", "xn", "d", "near", "pos", F.col("e.g").alias("g"))
     )
     # sets that are linked to one centre have its label: pairs of one label aren't listed
-    label = compared.groupBy("x").agg(F.min("c").alias("label"))
+    label = maybe_broadcast(compared.groupBy("x").agg(F.min("c").alias("label")), compares)
     ranked = written(
         ranked.join(label, "x", "left").withColumn("label", F.when(F.col("near"), F.col("c")).otherwise(F.coalesce("label", "x"))).drop("near"), "ranked"
     )
@@ -277,7 +281,7 @@ def jaccard_components(
     """
     described, links = set_links(docs, words, p, q, key, text)
     label = components(links).withColumnRenamed("node", "cls")
-    rows = described.join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    rows = described.join(maybe_broadcast(label), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     rows = checkpoint(rows.select("key", "n", "component"))
     least = rows.filter("n > 0").groupBy("component").agg(F.min("key").alias("least"))
     return (
