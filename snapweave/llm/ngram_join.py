@@ -239,14 +239,24 @@ def set_links(
     ranked = written(
         ranked.join(label, "x", "left").withColumn("label", F.when(F.col("near"), F.col("c")).otherwise(F.coalesce("label", "x"))).drop("near"), "ranked"
     )
-    labels = ranked.select("c", "g", "label").distinct()
-    across = labels.join(labels.withColumnRenamed("label", "other"), ["c", "g"]).filter("label < other")
+    # the places of the first common n-gram sum to the room at most, so one of them is in the first half of it
+    heads = ranked.filter(F.col("pos") * 2 <= allowed)
+    # per label the first place and the least and greatest number of differences: most labels of a hot n-gram can't meet
+    reach = ranked.groupBy("c", "g", F.col("label").alias("other")).agg(F.min("pos").alias("opos"), F.min("d").alias("dlow"), F.max("d").alias("dhigh"))
+    across = (
+        heads.groupBy("c", "g", "label").agg(F.min("pos").alias("first"), F.max(allowed).alias("most"))
+        .join(reach, ["c", "g"])
+        .filter("label <> other and first + opos <= most")
+        .drop("first", "most")
+    )
     other = ranked.select(
         "c", "g", F.col("label").alias("other"), F.col("x").alias("y"), F.col("xn").alias("yn"), F.col("d").alias("yd"), F.col("pos").alias("ypos")
     )
     room = f"(xn + yn) * {q - p} div {p + q}"
     pairs = (
-        ranked.join(across, ["c", "g", "label"])
+        heads.withColumn("most", allowed)
+        .join(across, ["c", "g", "label"])
+        .filter("pos + opos <= most and dlow - d <= most and d - dhigh <= most")
         .join(other, ["c", "g", "other"])
         .filter(f"x <> y and pos + ypos <= {room} and abs(d - yd) <= {room}")
         .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
