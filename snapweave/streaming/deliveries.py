@@ -28,8 +28,12 @@ def first_only(stream: DataFrame, key: list[str]) -> DataFrame:
 _FIRST = "digest string"
 
 
-def outcomes(stream: DataFrame, key: str, keep_ms: int = 3_600_000) -> DataFrame:
-    """(key, event_id, outcome) of (key, at, event_id, digest): first, duplicate or conflict."""
+def outcomes(stream: DataFrame, key: str, keep_ms: int | None = None) -> DataFrame:
+    """(key, event_id, outcome) of (key, at, event_id, digest): first, duplicate or conflict.
+
+    A key's digest is kept for good, or for keep_ms after its last delivery. Timeouts keep a query busy
+    with empty batches, so one that has to end, as with availableNow, takes no keep_ms.
+    """
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -45,12 +49,14 @@ def outcomes(stream: DataFrame, key: str, keep_ms: int = 3_600_000) -> DataFrame
                 outcome = "duplicate" if r.digest == digest else "conflict"
             out.append((keys[0], r.event_id, outcome))
         state.update((digest,))
-        state.setTimeoutDuration(keep_ms)
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(out, columns=[key, "event_id", "outcome"])
 
     kind = stream.schema[key].dataType.simpleString()
     return stream.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, event_id bigint, outcome string", _FIRST, "append", GroupStateTimeout.ProcessingTimeTimeout
+        run, f"{key} {kind}, event_id bigint, outcome string", _FIRST, "append",
+        GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
