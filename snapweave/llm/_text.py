@@ -9,6 +9,7 @@ inside a multi-byte UTF-8 character). A null text is an empty text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def trim() -> None:
+    """Freed memory goes back to the system: workers live on between tasks, and their pools keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if free is not None:
+        free(0)
+
+
 def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows, about CHUNK bytes each; nulls are empty."""
     parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
@@ -71,6 +80,7 @@ def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray
             yield row + a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             a = b
         row += len(part)
+    trim()
 
 
 class Spans:

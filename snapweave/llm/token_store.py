@@ -91,26 +91,28 @@ class Encoder:
         if getattr(self, "count", 0):
             often = np.flatnonzero(self.uses[: self.count] > 1)
             keep = often[np.argsort(-self.uses[often], kind="stable")[: self.most // 2]]
-        ids = [self.pool[self.at[k] : self.at[k] + self.size[k]].tolist() for k in keep]
-        known = self.hashes[keep] if len(keep) else np.zeros(0, _U)
+        known = sizes = ids = np.zeros(0, np.int64)
+        if len(keep):
+            known, sizes = self.hashes[keep], self.size[keep]
+            ids = self.pool[np.repeat(self.at[keep] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
         room = self.most + 1
         self.place: dict[int, int] = {}
         self.hashes, self.at, self.size, self.uses = np.zeros(room, _U), np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(room, np.int64)
         self.pool, self.used, self.count = np.zeros(1 << 16, self.dtype), 0, 0
-        self._remember(known, ids)
+        self._remember(known, sizes, ids)
 
-    def _remember(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+    def _remember(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Pieces with their numbers of ids, and the ids of all of them one after another."""
         if not len(hashes):
             return
-        n, end = len(ids), self.count + len(ids)
+        n, end = len(sizes), self.count + len(sizes)
         if end > len(self.size):
             more = end + end // 2 - len(self.size)
             self.hashes, self.at, self.size, self.uses = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.hashes, self.at, self.size, self.uses))
-        sizes = np.array([len(x) for x in ids], np.int64)
-        total = int(sizes.sum())
+        total = len(ids)
         if self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), self.dtype)])
-        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), self.dtype, total)
+        self.pool[self.used : self.used + total] = ids
         self.at[self.count : end] = self.used + np.cumsum(sizes) - sizes
         self.size[self.count : end], self.hashes[self.count : end] = sizes, hashes
         self.place.update(zip(hashes.tolist(), range(self.count, end), strict=True))
@@ -136,7 +138,9 @@ class Encoder:
             raw = data.tobytes()
             spans = zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)
             place[new] = self.count + np.arange(len(new))
-            self._remember(some[new], learn([raw[a:b].decode() for a, b in spans]))
+            ids = learn([raw[a:b].decode() for a, b in spans])
+            sizes = np.array([len(x) for x in ids], np.int64)
+            self._remember(some[new], sizes, np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum())))
         self.uses[place] += times
         return place[back]
 
@@ -210,19 +214,16 @@ def encode_blocks(blocks: list[np.ndarray], symbols: np.ndarray, f: np.ndarray)
     freq, low = np.zeros(size, _U), np.zeros(size, _U)
     freq[symbols] = f
     low[symbols] = np.cumsum(f) - f
-    steps = max(-(-len(b) // LANES) for b in blocks)
-    grid = np.zeros((len(blocks), steps * LANES), np.int64)
     lanes = len(blocks) * LANES
-    held = np.repeat([len(b) for b in blocks], LANES)
-    lane = np.tile(np.arange(LANES), len(blocks))
-    for i, b in enumerate(blocks):
-        grid[i, : len(b)] = b
-    grid = grid.reshape(len(blocks), steps, LANES).transpose(1, 0, 2).reshape(steps, lanes)
+    sizes = np.array([len(b) for b in blocks], np.int64)
+    held, lane = np.repeat(sizes, LANES), np.tile(np.arange(LANES), len(blocks))
+    # step k of a lane is LANES further in its own block: no padding to the longest block
+    flat, place = np.concatenate(blocks), np.repeat(np.cumsum(sizes) - sizes, LANES) + lane
     x = np.full(lanes, _LOW)
     who, what = [], []
-    for k in range(steps - 1, -1, -1):
+    for k in range(-(-int(sizes.max()) // LANES) - 1, -1, -1):
         at = np.flatnonzero(k * LANES + lane < held)
-        s, y = grid[k, at], x[at]
+        s, y = flat[place[at] + k * LANES], x[at]
         fs = freq[s]
         full = np.flatnonzero(y >= fs << _U(31 - _SCALE + 32))
         if len(full):
@@ -252,15 +253,16 @@ def decode_blocks(coded: list[tuple[np.ndarray, np.ndarray, bytes]], lengths: li
     words = np.concatenate([c[1] for c in coded])
     at = np.cumsum(words) - words
     stream = np.frombuffer(b"".join(c[2] for c in coded) + b"\0\0\0\0", "<u4")
-    steps = max(-(-n // LANES) for n in lengths)
-    grid = np.zeros((steps, len(x)), np.int64)
+    sizes = np.array(lengths, np.int64)
+    ends = np.cumsum(sizes)
+    flat, place = np.zeros(ends[-1], np.int32), np.repeat(ends - sizes, LANES) + lane
     mask = _U((1 << _SCALE) - 1)
-    for k in range(steps):
+    for k in range(-(-int(sizes.max()) // LANES)):
         on = np.flatnonzero(k * LANES + lane < held)
         y = x[on]
         part = y & mask
         s = slot[part.astype(np.int64)]
-        grid[k, on] = s
+        flat[place[on] + k * LANES] = s
         y = freq[s] * (y >> _U(_SCALE)) + part - low[s]
         short = np.flatnonzero(y < _LOW)
         if len(short):
@@ -270,8 +272,7 @@ def decode_blocks(coded: list[tuple[np.ndarray, np.ndarray, bytes]], lengths: li
         x[on] = y
     if (x != _LOW).any():
         raise ValueError("a lane doesn't end in its first state")
-    grid = symbols[grid].reshape(steps, len(coded), LANES).transpose(1, 0, 2).reshape(len(coded), steps * LANES)
-    return [g[:n] for g, n in zip(grid, lengths, strict=True)]
+    return np.split(symbols[flat], ends[:-1])
 
 
 _TYPES = {
@@ -325,6 +326,7 @@ def _write(path: str, end_id: int):
                     if held >= SEGMENT:
                         yield flush(part, segment, keys, docs, batch.schema.field(0).type)
                         segment, keys, docs, held = segment + 1, [], [], 0
+                        T.trim()
         if docs:
             yield flush(part, segment, keys, docs, batch.schema.field(0).type)
 
@@ -376,6 +378,7 @@ def _read(keep_ids: bool):
                     pa.array(lengths, pa.int64()),
                     pa.array([zlib.crc32(raw[a:b].tobytes()) for a, b in spans], pa.int64()),
                 ]
+                T.trim()
                 names = ["key", "part", "segment", "at", "n_tokens", "ids_crc32"]
                 if keep_ids:
                     columns.append(pa.array([raw[a:b].astype(np.int64) for a, b in spans], pa.list_(pa.int64())))
