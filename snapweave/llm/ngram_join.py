@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapweave.llm import _text as T
-from snapweave.llm._tables import BROADCAST_ROWS, checkpoint, components, maybe_broadcast, written
+from snapweave.llm._tables import BROADCAST_ROWS, checkpoint, components, join_counted, maybe_broadcast, written
 
 #: One n-gram of SPARE is added to the first fragment in hash order, and has to be shared there.
 SPARE = 10
@@ -293,10 +293,9 @@ def jaccard_components(
     label = components(links).withColumnRenamed("node", "cls")
     rows = described.join(maybe_broadcast(label), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     rows = checkpoint(rows.select("key", "n", "component"))
-    least = rows.filter("n > 0").groupBy("component").agg(F.min("key").alias("least"))
+    least = checkpoint(rows.filter("n > 0").groupBy("component").agg(F.min("key").alias("least"), F.count("*").alias("times")))
     return (
-        rows.filter("n > 0")
-        .join(least, "component")
+        join_counted(rows.filter("n > 0"), least, "component")
         .select("key", "n", "least")
         .union(rows.filter("n = 0").select("key", "n", "key"))
         .toDF(key, "n_shingles", "component_id")
