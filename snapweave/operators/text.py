@@ -46,12 +46,17 @@ def nonblank_runs(rows: DataFrame, key: str) -> DataFrame:
 
 
 def merged_spans(spans: DataFrame, key: str) -> DataFrame:
-    """(key, start, end): overlapping and touching half-open spans as one, by a fold per key."""
-    order = Window.partitionBy(key).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    """(key, start, end): overlapping and touching half-open spans as one, by a fold per key.
+
+    Nulls come last: a span without a start joins the one before it. Of spans with the same start and end
+    the one that opens a group comes first, so its copies never join the group before.
+    """
+    per, order = Window.partitionBy(key), [F.asc_nulls_last("start"), F.asc_nulls_last("end")]
+    reach = F.max("end").over(per.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum("_new").over(per.orderBy(*order, F.desc("_new")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
-        spans.withColumn("_new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
-        .withColumn("_island", F.sum("_new").over(order))
+        spans.withColumn("_new", F.coalesce(reach.isNull() | (F.col("start") > reach), F.lit(False)).cast("int"))
+        .withColumn("_island", island)
         .groupBy(key, "_island")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"))
         .drop("_island")

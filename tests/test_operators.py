@@ -134,6 +134,13 @@ def test_spans(spark):
     assert got(text.overlapping(s, "k")) == [(1,)]
 
 
+def test_equal_spans_open_one_group(spark):
+    """Copies of the span that opens a group stay in it, and spans without a start join the last group."""
+    s = spark.createDataFrame([(1, 30, 34), (1, 45, 49), (1, 66, 78), (1, 66, 78), (1, None, 90), (2, None, None)], "k int, start int, end int")
+    for n in (1, 3, 7):
+        assert got(text.merged_spans(s.repartition(n), "k"), "k", "start") == [(1, 30, 34), (1, 45, 49), (1, 66, 90), (2, None, None)]
+
+
 def test_external(spark):
     s = "destination string, document string"
     d = external.delta(spark.createDataFrame([("x", "1"), ("y", "1")], s), spark.createDataFrame([("y", "2"), ("z", "3"), ("z", "2")], s))
