@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapweave.llm import decontamination, mixing, ngram_join, token_store, toxicity
-from snapweave.llm._tables import checkpoint, drop_ids, shared_folder, table
+from snapweave.llm._tables import checkpoint, drop_ids, shared_folder, small_batches, table
 from snapweave.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go; rows with a null doc_id stay."""
-    scores = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return drop_ids(docs, scores.filter("predicted = 1"))
+    with small_batches(spark):
+        scores = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
+        return drop_ids(docs, scores.filter("predicted = 1"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words stay, each its own group; rows with a null doc_id stay. Of rows that
     repeat a doc_id, the one with the least text stays.
     """
-    groups = checkpoint(ngram_join.jaccard_components(docs, words=5, p=8, q=10))
+    with small_batches(spark):
+        groups = checkpoint(ngram_join.jaccard_components(docs, words=5, p=8, q=10))
     kept = drop_ids(docs, groups.filter("doc_id <> component_id"))
     twice = checkpoint(groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
     if twice.isEmpty():
@@ -33,7 +35,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; rows with a null doc_id stay."""
-    return drop_ids(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    with small_batches(spark):
+        return drop_ids(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

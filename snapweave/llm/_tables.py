@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 #: Rows of one or two longs that may be broadcast after they were counted; more rows are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
+#: Bytes of an Arrow batch on its way to a Python worker. JVM and worker hold it at once, each in its own memory.
+BATCH_BYTES = 4 << 20
+
 #: A value is hot if it holds one in HOT_SHARE of all rows: there are at most so many.
 HOT_SHARE = 5_000
 
@@ -52,6 +57,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs within it sends batches of BATCH_BYTES to Python workers, where the session sets no size itself."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df with a broadcast hint if it was counted to be within BROADCAST_ROWS, else as it is."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df

@@ -59,8 +59,8 @@ def trim() -> None:
         free(0)
 
 
-def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of consecutive rows, about CHUNK bytes each; nulls are empty."""
+def chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of consecutive rows, about `most` bytes each; nulls are empty."""
     parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     row = 0
     for part in parts:
@@ -75,7 +75,7 @@ def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray
         data = np.frombuffer(buffers[2], np.uint8) if buffers[2] else np.zeros(0, np.uint8)
         a = 0
         while a < len(part):
-            b = int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1
+            b = int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1
             b = min(max(b, a + 1), len(part))
             yield row + a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             a = b

@@ -19,8 +19,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, IntegralType, StringType
 
 from snapweave.llm import _text as T
 
@@ -181,6 +183,14 @@ def _scan(shared, p: int, q: int):
     return run
 
 
+def _names(spark: SparkSession, keys: list, kind: DataType) -> DataFrame:
+    """(place, name) of the keys. Numbers and strings go as Arrow: a list is read by Python workers of its own, which stay for a minute."""
+    if isinstance(kind, (IntegralType, StringType)):
+        own = pa.table({"place": pa.array(range(len(keys)), pa.int64()), "name": pa.array(keys, to_arrow_type(kind))})
+        return spark.createDataFrame(own)
+    return spark.createDataFrame(list(enumerate(keys)), f"place bigint, name {kind.simpleString()}")
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -213,9 +223,7 @@ def contaminated(
         if not block and out is not None:
             break
         index = spark.sparkContext.broadcast(Index(block, words, radius, blocks))
-        names = spark.createDataFrame(
-            [(i, b[0]) for i, b in enumerate(block)], f"place bigint, name {kinds[1].simpleString()}"
-        )
+        names = _names(spark, [b[0] for b in block], kinds[1])
         found = source.mapInArrow(
             _scan(index, p, q), f"key {kinds[0]}, place bigint, start bigint, size bigint, similarity double"
         )

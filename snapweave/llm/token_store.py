@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snapweave.llm import _text as T
-from snapweave.llm._tables import maybe_broadcast
+from snapweave.llm._tables import maybe_broadcast, small_batches
 
 SEGMENT, BLOCK, LANES = 1 << 21, 1 << 15, 64
 _SCALE = 20
@@ -38,6 +38,8 @@ _U = np.uint64
 
 #: Pieces whose ids a worker remembers; beyond that those that were used once are forgotten.
 _PIECES = 600_000
+#: Bytes of text that are cut into pieces at once.
+_CUT = T.CHUNK // 4
 _OTHER, _TAIL = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 
 
@@ -63,8 +65,8 @@ class Encoder:
     Text between ASCII white space is encoded on its own: the tokenizer drops white space before it
     splits, and none of its patterns crosses it. A word of letters and then punctuation is two pieces,
     which the tokenizer splits too; letters are looked up in lower case. Any other word is one piece.
-    Pieces are cut, hashed and put together in numpy, a chunk of texts at once. Where a tokenizer
-    splits a sample of words otherwise, every word is one piece.
+    Pieces are cut, hashed, found in an open hash table and put together in numpy, a chunk of texts at
+    once. Where a tokenizer splits a sample of words otherwise, every word is one piece.
     """
 
     def __init__(self, path: str, pieces: int = _PIECES):
@@ -96,8 +98,8 @@ class Encoder:
             known, sizes = self.hashes[keep], self.size[keep]
             ids = self.pool[np.repeat(self.at[keep] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
         room = self.most + 1
-        self.place: dict[int, int] = {}
-        self.hashes, self.at, self.size, self.uses = np.zeros(room, _U), np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(room, np.int64)
+        self.table = np.full(1 << 10, -1, np.int32)
+        self.hashes, self.at, self.size, self.uses = np.zeros(room, _U), np.zeros(room, np.int64), np.zeros(room, np.int32), np.zeros(room, np.int64)
         self.pool, self.used, self.count = np.zeros(1 << 16, self.dtype), 0, 0
         self._remember(known, sizes, ids)
 
@@ -115,8 +117,34 @@ class Encoder:
         self.pool[self.used : self.used + total] = ids
         self.at[self.count : end] = self.used + np.cumsum(sizes) - sizes
         self.size[self.count : end], self.hashes[self.count : end] = sizes, hashes
-        self.place.update(zip(hashes.tolist(), range(self.count, end), strict=True))
         self.used, self.count = self.used + total, self.count + n
+        new = np.arange(end - n, end)
+        if 4 * end > 3 * len(self.table):
+            self.table, new = np.full(1 << (2 * end).bit_length(), -1, np.int32), np.arange(end)
+        self._enter(new)
+
+    def _enter(self, places: np.ndarray) -> None:
+        """Places of pieces that the table doesn't have yet: each in the first free slot from its hash on."""
+        slot = self._slots(self.hashes[places])
+        while len(places):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = places[free]
+            left = self.table[slot] != places
+            places, slot = places[left], (slot[left] + 1) % len(self.table)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the pieces with these hashes; -1 where there is none."""
+        slot = self._slots(hashes)
+        place = self.table[slot].astype(np.int64)
+        on = np.flatnonzero((place >= 0) & (self.hashes[place] != hashes))
+        while len(on):
+            slot[on] = (slot[on] + 1) % len(self.table)
+            own = place[on] = self.table[slot[on]]
+            on = on[(own >= 0) & (self.hashes[own] != hashes[on])]
+        return place
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & _U(len(self.table) - 1)).astype(np.int64)
 
     def _each(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -131,8 +159,7 @@ class Encoder:
         if not len(hashes):
             return np.zeros(0, np.int64)
         some, first, back, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        get = self.place.get
-        place = np.array([get(h, -1) for h in some.tolist()], np.int64)
+        place = self._find(some)
         new = np.flatnonzero(place < 0)
         if len(new):
             raw = data.tobytes()
@@ -288,14 +315,16 @@ _SEGMENTS = (
 
 def _write(path: str, end_id: int):
     def flush(part: int, segment: int, keys: list, docs: list[np.ndarray], kind: pa.DataType):
-        symbols, f = frequencies(np.concatenate(docs))
+        flat = np.concatenate(docs)
+        symbols, f = frequencies(flat)
+        ends = np.cumsum([0, *map(len, docs)])
         cuts, total = [0], 0
         for i, d in enumerate(docs):
             total += len(d)
             if total >= BLOCK or i == len(docs) - 1:
                 cuts.append(i + 1)
                 total = 0
-        coded = encode_blocks([np.concatenate(docs[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], symbols, f)
+        coded = encode_blocks([flat[ends[a] : ends[b]] for a, b in zip(cuts, cuts[1:], strict=False)], symbols, f)
         row = {
             "part": part,
             "segment": segment,
@@ -317,7 +346,7 @@ def _write(path: str, end_id: int):
         segment, keys, docs, held = 0, [], [], 0
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for row, data, offsets in T.chunks(batch.column(1)):
+            for row, data, offsets in T.chunks(batch.column(1), _CUT):
                 ids, sizes = encode(data, offsets, end_id)
                 for i, own in enumerate(np.split(ids, np.cumsum(sizes)[:-1])):
                     keys.append(names[row + i])
@@ -343,7 +372,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, key: st
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = source.schema["key"].dataType.simpleString()
     dealt = source.repartitionByRange("key").sortWithinPartitions("key", "text")
-    dealt.mapInArrow(_write(tokenizer, end_id), _SEGMENTS.format(kind)).write.parquet(folder)
+    with small_batches(docs.sparkSession):
+        dealt.mapInArrow(_write(tokenizer, end_id), _SEGMENTS.format(kind)).write.parquet(folder)
 
 
 def decode_segment(r: dict) -> list[np.ndarray]:

@@ -223,10 +223,12 @@ class Linear:
     """Logistic regression on posterior labels, by full gradients with momentum."""
 
     def __init__(self, x: np.ndarray, q: np.ndarray, ridge: float = 0.3, steps: int = 400):
-        x = x.astype(np.float32)
+        x = x.astype(np.float32, copy=False)
         n = len(x)
         w, move, b = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 0.0
-        size = np.maximum((x**2).mean(0), 1.0 / n)
+        # a few columns at once: the driver has little room
+        squares = [(x[:, j : j + 32] ** 2).mean(0) for j in range(0, x.shape[1], 32)]
+        size = np.maximum(np.concatenate(squares), 1.0 / n)
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
             g = (x.T @ (p - q) + ridge * w) / n
@@ -314,8 +316,10 @@ def toxicity_scores(
             hits[i, h] = True
         patterns = np.stack(rows["patterns"].to_list())
         model = LabelModel(v := votes(hits, patterns), float(rows["y"].mean()))
-        fitted = Linear(np.concatenate([hits, patterns], axis=1), model.posterior(v))
+        fitted = Linear(np.concatenate([hits, patterns], axis=1, dtype=np.float32), model.posterior(v))
         w, b = fitted.w, fitted.b
+        del rows, hits, patterns, v, model
+        T.trim()
     kind = source.schema["key"].dataType.simpleString()
     scored = source.mapInArrow(_score(spark.sparkContext.broadcast((lexicon, w, b))), f"key {kind}, score double")
     return scored.select(

@@ -1,17 +1,20 @@
 """The training-data operators against brute force, and on awkward input."""
 
 import collections
+import datetime
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.types import DoubleType, TimestampType
 
 from snapweave.llm import _text as T
 from snapweave.llm import additive, decontamination, line_dedup, mixing, ngram_join, outliers, queries, span_dedup, token_store, toxicity, url_filter
-from snapweave.llm._tables import components, shared_folder
+from snapweave.llm._tables import BATCH_BYTES, components, shared_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -325,6 +328,55 @@ def test_round_trip(spark, tokenizer):
         start += len(ids)
 
 
+def test_pieces_take_little_memory():
+    hashes = np.unique(np.random.default_rng(5).integers(0, 1 << 63, 200_000, np.uint64) << np.uint64(12))  # many meet in the table
+    tracemalloc.start()
+    try:
+        encode = token_store.Encoder(queries.tokenizer_path(), len(hashes))
+        for part in np.array_split(hashes, 7):
+            encode._remember(part, np.ones(len(part), np.int64), part % np.uint64(40_000))
+        assert tracemalloc.get_traced_memory()[0] < 60 * len(hashes)
+    finally:
+        tracemalloc.stop()
+    wanted = np.concatenate([hashes[::-3], hashes[:50] + np.uint64(1)])
+    place = encode._find(wanted)
+    assert (encode.hashes[place[:-50]] == wanted[:-50]).all() and (place[-50:] == -1).all()
+
+
+def test_batches_to_workers_are_small(spark, tmp_path, monkeypatch):
+    def sizes(path, end_id):
+        def run(batches):
+            if max((b.nbytes for b in batches), default=0) > 1.5 * BATCH_BYTES:
+                raise ValueError("a batch is too large")
+            return iter(())
+
+        return run
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(token_store, "_write", sizes)
+    docs = spark.range(9_000).selectExpr("id AS doc_id", "repeat('word ', 400) AS text").coalesce(1)
+    token_store.write(docs, str(tmp_path / "tokens"), queries.tokenizer_path())
+    assert spark.conf.get(name) == before
+    spark.conf.set(name, "64m")  # a session's own size stays
+    try:
+        with pytest.raises(Exception, match="a batch is too large"):
+            token_store.write(docs, str(tmp_path / "again"), queries.tokenizer_path())
+        assert spark.conf.get(name) == "64m"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_names_of_items_need_no_worker(spark):
+    for keys, kind in (([3, None, 1], "bigint"), (["a", None, "é"], "string"), ([], "int"), ([1.5, None], "double"), ([datetime.datetime(2020, 1, 2, 3)], "timestamp")):
+        kind = spark.createDataFrame([], f"name {kind}").schema["name"].dataType
+        names = decontamination._names(spark, keys, kind)
+        assert names.schema["name"].dataType == kind
+        assert sorted(map(tuple, names.collect())) == list(enumerate(keys))
+        if not isinstance(kind, (DoubleType, TimestampType)):
+            assert "LocalTableScan" in names._jdf.queryExecution().toString()
+
+
 def test_blocks_decode_and_notice_damage():
     r = np.random.default_rng(4)
     blocks = [np.minimum(r.geometric(0.01, n), 49_407) for n in (1, 63, 64, 65, 5000)]
@@ -341,6 +393,20 @@ def test_blocks_decode_and_notice_damage():
 # models
 
 
+def test_linear_keeps_no_copy_of_its_matrix():
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.random((4000, 400)) < 0.02, r.random((4000, 7))], axis=1, dtype=np.float32)
+    q = r.random(4000)
+    tracemalloc.start()
+    try:
+        fitted = toxicity.Linear(x, q, steps=3)
+        assert tracemalloc.get_traced_memory()[1] < 2.5 * x.nbytes  # a step's product takes twice x for a moment
+    finally:
+        tracemalloc.stop()
+    again = toxicity.Linear(x.astype(np.float64), q, steps=3)
+    assert (again.w == fitted.w).all() and again.b == fitted.b
+
+
 def test_base_counts(spark):
     r = random.Random(5)
     texts = [" ".join(r.choice(["a", "b", "#c", "d\n", "é", "\n"]) for _ in range(r.randrange(120))) for _ in range(60)] + [None, "", "\n\n"]
